@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloupe.llm import quality_rules
+from sparkloupe.llm.ngram_join import op2_ngram_join
 from sparkloupe.llm.quality_rules import op6_quality_rules
 from sparkloupe.llm.token_counts import op1_token_counts
 
@@ -14,6 +15,7 @@ from sparkloupe.llm.token_counts import op1_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_ngram_join": op2_ngram_join,
         "op6_quality_rules": op6_quality_rules,
     }
 
