@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloupe.llm import quality_rules
 from sparkloupe.llm.ngram_join import op2_ngram_join
 from sparkloupe.llm.quality_rules import op6_quality_rules
+from sparkloupe.llm.substring_dedup import op3_substring_dedup
 from sparkloupe.llm.token_counts import op1_token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_ngram_join": op2_ngram_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
     }
 
