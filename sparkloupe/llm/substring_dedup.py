@@ -94,9 +94,10 @@ def cores(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     own = doc[start]
     a, b = start + size - 1 - middle, start - middle + window
     ok = (a >= block.first[own]) & (b <= block.first[own + 1])
-    a, b, own, start, size = a[ok], b[ok], own[ok], start[ok], size[ok]
     low = np.maximum(start - middle, block.first[own])
     high = np.minimum(a, block.first[own + 1] - window)
+    ok &= low <= high  # a text a little shorter than a window can hold a core
+    a, b, own, low, high = a[ok], b[ok], own[ok], low[ok], high[ok]
     return own, passage(prefix_sums(block.name), a, b), low, high
 
 

@@ -46,6 +46,7 @@ def test_few_words_and_runs(spark):
     for k in range(150):  # two or three words only: runs, periods and many repeats
         rows.append((1000 - 3 * k, " ".join(rng.choice("ab" if k % 3 else "aab c d".split()) for _ in range(rng.randint(0, 90)))))
     rows += [(2000 + k, "x " * n) for k, n in enumerate((5, 12, 13, 14, 30, 31))]
+    rows += [(3000 + k, " ".join(f"v{i}" for i in range(k % 40, k % 40 + 10 + k % 3))) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(sd.substring_dedup(df)) == brute(rows)
 
