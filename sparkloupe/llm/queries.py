@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloupe.llm import quality_rules
+from sparkloupe.llm import quality_rules, url_filters
 from sparkloupe.llm.ngram_join import op2_ngram_join
 from sparkloupe.llm.quality_rules import op6_quality_rules
 from sparkloupe.llm.substring_dedup import op3_substring_dedup
 from sparkloupe.llm.token_counts import op1_token_counts
+from sparkloupe.llm.url_filters import op4_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_ngram_join": op2_ngram_join,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_url_filters": op4_url_filters,
         "op6_quality_rules": op6_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.SQL}
+    return {"op4_url_filters": url_filters.SQL, "op6_quality_rules": quality_rules.SQL}
