@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloupe.llm import quality_rules, url_filters
 from sparkloupe.llm.html_text import op8_html_text
+from sparkloupe.llm.mixing import op7_source_mixing
 from sparkloupe.llm.ngram_join import op2_ngram_join
 from sparkloupe.llm.quality_rules import op6_quality_rules
 from sparkloupe.llm.substring_dedup import op3_substring_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_url_filters": op4_url_filters,
         "op6_quality_rules": op6_quality_rules,
+        "op7_source_mixing": op7_source_mixing,
         "op8_html_text": op8_html_text,
     }
 
