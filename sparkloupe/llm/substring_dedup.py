@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import U64, Block, _powers, blocks, mix, n_partitions, stored, table
+from sparkloupe.llm.common import STEP_BYTES, U64, Block, _powers, blocks, mix, n_partitions, stored, table, text_views
 
 WINDOW = 13
 #: Names gathered by a task before it deals them out.
@@ -222,8 +222,35 @@ def _kept(block: Block, gone: np.ndarray | None) -> list[tuple[int, int, str]]:
     return out
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("g", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-_OUT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, g int, keys binary, docs binary"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("size", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
+_OUT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, packed binary, size long, g int, keys binary, docs binary"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Texts compressed for the exchange, with their sizes in bytes; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            texts = text_views(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "packed", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary, size long")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[Block]:
+    """Blocks of the texts of a batch (doc_id, packed, size), unpacked block by block."""
+    codec = pa.Codec("zstd")
+    size = batch.column(2).to_pylist()
+    at = 0
+    while at < len(size):
+        end, total = at, 0
+        while end < len(size) and (end == at or total + size[end] <= STEP_BYTES):
+            total += size[end]
+            end += 1
+        texts = [memoryview(codec.decompress(batch.column(1)[k].as_buffer(), size[k], asbytes=True)) if size[k] else memoryview(b"") for k in range(at, end)]
+        yield Block(np.arange(at, end), texts, False)
+        at = end
 
 
 def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> DataFrame:
@@ -234,9 +261,9 @@ def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> Da
         copies = set(pa.compute.drop_null(right.column("doc_id")).to_pylist())
         done: list[tuple] = []
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in left.select(["doc_id", "text"]).to_batches():
+        for batch in left.select(["doc_id", "packed", "size"]).to_batches():
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1)):
+            for block in _unpacked(batch):
                 own_id = ids[block.rows]
                 copy = np.fromiter((x in copies for x in own_id.tolist()), bool, len(own_id)) & (np.diff(block.first) >= window)
                 own, key, low, high = cores(block, window)
@@ -253,14 +280,14 @@ def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> Da
                 for i, row in enumerate(block.rows.tolist()):
                     n, _, sha = final[i]
                     if copy[i]:
-                        done.append((own_id[i], n, n, _sha(b""), None))
+                        done.append((own_id[i], n, n, _sha(b""), None, None))
                     elif open_[i]:
-                        done.append((own_id[i], n, None, None, batch.column(1)[row].as_py()))
+                        done.append((own_id[i], n, None, None, batch.column(1)[row].as_py(), batch.column(2)[row].as_py()))
                     else:
-                        done.append((own_id[i], n, 0, sha, None))
+                        done.append((own_id[i], n, 0, sha, None, None))
         packed = [*deal(*map(np.concatenate, zip(*held, strict=True)))] if held else []
         nothing = [None] * len(done)
-        columns = [[*x, *[None] * len(packed)] for x in zip(*done, strict=True)] if done else [[None] * len(packed) for _ in range(5)]
+        columns = [[*x, *[None] * len(packed)] for x in zip(*done, strict=True)] if done else [[None] * len(packed) for _ in range(6)]
         columns += [[*nothing, *x] for x in zip(*packed, strict=True)] if packed else [nothing] * 3
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
@@ -270,9 +297,9 @@ def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> Da
 def _removed(docs: DataFrame, flags: DataFrame, window: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         marks, out = _marks(right), []
-        for batch in left.select(["doc_id", "text"]).to_batches():
+        for batch in left.select(["doc_id", "packed", "size"]).to_batches():
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1)):
+            for block in _unpacked(batch):
                 own_id, n = ids[block.rows], len(block.name)
                 count = np.diff(block.first)
                 doc = np.repeat(np.arange(len(count)), count)
@@ -301,7 +328,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of docs(doc_id, text)."""
     nameless = docs.where("doc_id is null")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    n = n_partitions(docs.sparkSession) * 4
+    n = n_partitions(docs.sparkSession)
     bits = max(1, (n - 1).bit_length())
     # exact copies of an earlier document
     digest = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("m"))
@@ -309,9 +336,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = digest.join(twice, "m").where("doc_id > low").select("doc_id")
     flags = shared_entries(core_rows(docs, window, bits), n, False, np.uint32).select("g", "keys", "docs", F.lit(None).cast("long").alias("doc_id"))
     flags = flags.union(copies.select(chunk_column(n).alias('g'), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "doc_id"))
-    found = stored(_candidates(docs.withColumn("g", chunk_column(n)), flags, window, bits), "substring-candidates")
+    found = stored(_candidates(packed(docs).withColumn("g", chunk_column(n)), flags, window, bits), "substring-candidates")
     marks = shared_entries(found.where("g is not null").select("g", "keys", "docs"), n, True, U64)
-    open_ = found.where("text is not null").select("doc_id", "text").withColumn("g", chunk_column(n))
+    open_ = found.where("packed is not null").select("doc_id", "packed", "size").withColumn("g", chunk_column(n))
     closed = found.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return closed.union(_removed(open_, marks, window)).union(_untouched(nameless).select(F.lit(None).cast("long"), "n_words", "n_removed", "kept_sha256"))
 
