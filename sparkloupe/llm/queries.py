@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloupe.llm import quality_rules, url_filters
 from sparkloupe.llm.decontamination import op10_decontamination
 from sparkloupe.llm.html_text import op8_html_text
+from sparkloupe.llm.language_id import op9_language_id
 from sparkloupe.llm.mixing import op7_source_mixing
 from sparkloupe.llm.ngram_join import op2_ngram_join
 from sparkloupe.llm.quality_rules import op6_quality_rules
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_source_mixing": op7_source_mixing,
         "op8_html_text": op8_html_text,
+        "op9_language_id": op9_language_id,
         "op10_decontamination": op10_decontamination,
     }
 
