@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkloupe.llm.common import Block, blocks, table
 
@@ -109,33 +110,37 @@ def _dup_lines(text: str | None) -> int:
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
 
 
-def quality_measures(df: DataFrame, rules: QualityRules = PRODUCTION, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measures of every row, one row each; the text is carried along only if wanted by a join."""
-    kind = df.schema[id_col].dataType.simpleString()
+def _measured(texts: pa.Array, rules: QualityRules) -> list[np.ndarray]:
+    out = {k: np.zeros(len(texts), np.int64) for k in _FIELDS}
+    for block in blocks(texts):
+        r = block.rows
+        longest = longest_repeats(block)
+        out["n_words"][r] = np.diff(block.first)
+        lead = np.append(0, np.cumsum((block.data & 0xC0) != 0x80))
+        own = np.append(0, np.cumsum(lead[block.stop] - lead[block.start]))
+        out["word_chars"][r] = own[block.first[1:]] - own[block.first[:-1]]
+        marks = np.append(0, np.cumsum(_SYMBOLS[block.data]))
+        out["n_symbols"][r] = marks[block.end] - marks[block.begin]
+        out["n_repeat_words"][r] = covered(longest, block.first, 3, 3)
+        out["n_covered_words"][r] = covered(longest, block.first, rules.min_repeat)
+        full = np.diff(block.first) > 0
+        if full.any():
+            out["longest_repeat"][r[full]] = np.maximum.reduceat(longest, block.first[:-1][full])
+    out["n_dup_lines"][:] = [_dup_lines(t) for t in texts.to_pylist()]
+    return [out[k] for k in _FIELDS]
+
+
+def quality_measures(df: DataFrame, rules: QualityRules = PRODUCTION, *, text_col: str = "text") -> DataFrame:
+    """The columns of df other than the measures' own, and the measures of each row's text."""
+    keep = [c for c in df.columns if c not in _FIELDS]
+    at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            out = {k: np.zeros(n, np.int64) for k in _FIELDS}
-            for block in blocks(batch.column(1)):
-                r = block.rows
-                longest = longest_repeats(block)
-                out["n_words"][r] = np.diff(block.first)
-                lead = np.append(0, np.cumsum((block.data & 0xC0) != 0x80))
-                own = np.append(0, np.cumsum(lead[block.stop] - lead[block.start]))
-                out["word_chars"][r] = own[block.first[1:]] - own[block.first[:-1]]
-                marks = np.append(0, np.cumsum(_SYMBOLS[block.data]))
-                out["n_symbols"][r] = marks[block.end] - marks[block.begin]
-                out["n_repeat_words"][r] = covered(longest, block.first, 3, 3)
-                out["n_covered_words"][r] = covered(longest, block.first, rules.min_repeat)
-                full = np.diff(block.first) > 0
-                if full.any():
-                    out["longest_repeat"][r[full]] = np.maximum.reduceat(longest, block.first[:-1][full])
-            out["n_dup_lines"][:] = [_dup_lines(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k]) for k in _FIELDS)], names=["id", *_FIELDS])
-
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} long" for k in _FIELDS))
-    return found.withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _measured(batch.column(at), rules))], names=[*batch.schema.names, *_FIELDS])
+
+    schema = StructType([df.schema[c] for c in keep] + [StructField(k, LongType(), False) for k in _FIELDS])
+    return df.select(*keep).mapInArrow(run, schema)
 
 
 def judged(measures: DataFrame, rules: QualityRules = PRODUCTION) -> DataFrame:
@@ -147,7 +152,7 @@ def judged(measures: DataFrame, rules: QualityRules = PRODUCTION) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(quality_measures(table(spark, sf_dir, "documents"))).drop("n_covered_words", "longest_repeat")
+    return judged(quality_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "n_covered_words", "longest_repeat")
 
 
 _WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -12,6 +12,7 @@ from sparkloupe.llm.html_text import op8_html_text
 from sparkloupe.llm.language_id import op9_language_id
 from sparkloupe.llm.mixing import op7_source_mixing
 from sparkloupe.llm.ngram_join import op2_ngram_join
+from sparkloupe.llm.pii import op5_pii
 from sparkloupe.llm.quality_rules import op6_quality_rules
 from sparkloupe.llm.substring_dedup import op3_substring_dedup
 from sparkloupe.llm.token_counts import op1_token_counts
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_url_filters": op4_url_filters,
+        "op5_pii": op5_pii,
         "op6_quality_rules": op6_quality_rules,
         "op7_source_mixing": op7_source_mixing,
         "op8_html_text": op8_html_text,
