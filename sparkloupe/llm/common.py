@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled by one vectorised step; bounds the memory of a Python worker.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
@@ -158,6 +158,14 @@ def blocks(column: pa.Array, lower: bool = False, step: int = STEP_BYTES) -> Ite
         yield Block(np.arange(a, b), texts[a:b], lower)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends at most 1,000 rows to a Python worker at once where the session still has Spark's default of 10,000:
+    texts are long, and Arrow's buffers are outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; set here only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -173,12 +181,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

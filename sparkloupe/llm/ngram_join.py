@@ -1,17 +1,19 @@
 """Operator 2: n-gram Jaccard join with filters under several global token orders.
 
-A document's set holds its distinct shingles.  Two sets whose Jaccard similarity is at least t share a
-token within their first n - ceil(t * n) + 1 tokens under ANY global order of the tokens.  Three orders
+A document's set holds its distinct shingles.  Two sets whose Jaccard similarity is at least t share l
+tokens within their first n - ceil(t * n) + l tokens under ANY global order of the tokens.  Three orders
 are used.  Order A puts rare tokens first (a fixed-size count sketch over all documents gives the
-frequency class; ties by hash) and proposes candidates; orders B and C are two hash permutations, and a
-candidate must also share prefix tokens under both before the full sets are compared.
+frequency class; ties by hash) and proposes candidates, which must share l tokens; orders B and C are two
+hash permutations, and a candidate's prefixes under both must agree as far as the similarity demands: up
+to the smaller of the two prefixes' last tokens both prefixes are complete, so what they do not share
+there belongs to the symmetric difference, which is bounded.  Then the full sets are compared.
 
 How groups stay small work: equal sets form one class at the start and only its smallest id goes on.  A
 token shared by few classes gives its pairs directly.  In a larger token group every member is first
-compared with one pivot; members that link merge, and only groups that still hold several components are
-compared further, inside kernels over blocks of members that return a spanning forest of the links they
-find and never the pairs.  No link between different sets is lost: each pair of components left in a
-group is compared there.
+compared with one pivot.  Only groups that then still hold several clusters of plausible pairs, and
+clusters that hold several linked components, are compared further, inside kernels over blocks of members
+that return a spanning forest of what they find and never the pairs.  No link between different sets is lost: a pair with l common prefix tokens has
+all of them in small groups, and is counted there, or one in a large group, and is compared there.
 
 Sets are compared by 64-bit shingle names; classes by 128-bit digests of whole sets.
 
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from sparkloupe.llm.common import U64, Block, blocks, mix, stored, table
 from sparkloupe.llm.graph import components
 
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 #: Token groups up to this size give their pairs directly; larger ones use a pivot and kernels.
-SMALL = 8
+SMALL = 16
 #: Members of one side of a kernel over a large group.
 KERNEL = 512
 
@@ -47,9 +49,19 @@ class JaccardJoin:
     words: int = 4
     percent: int = 85  # 100 * intersection >= percent * union
 
-    def prefix(self, n: np.ndarray | int) -> np.ndarray | int:
+    def prefix(self, n: int) -> int:
+        """Prefix length that must hold a common token."""
         return n - (self.percent * n + 99) // 100 + 1
 
+    def common(self, n: int) -> int:
+        """Tokens that a longer prefix, by this number less one, must have in common; grows with n."""
+        return 1 + min(7, n // 40)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Largest symmetric difference of linked sets of these sizes."""
+        least = -(-self.percent * (x + y) // (100 + self.percent))
+        return x + y - 2 * least
+
 
 PRODUCTION = JaccardJoin()
 
@@ -77,31 +89,36 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequency_classes(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
-    """log2 class of each cell of the count sketch: 2 ** SKETCH_BITS bytes, whatever the input's size."""
+    """log2 class of each cell of the count sketch: 2 ** SKETCH_BITS bytes, whatever the input's size.
+
+    A class compares a cell with the mean of its part of the sketch, and a task counts to 255 in a cell;
+    any order gives right results, a blunter one only proposes more candidates.
+    """
     part = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << SKETCH_BITS, np.int64)
+        count = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for block in blocks(batch.column(0), lower=True):
                 found = [s for _, s in _sets(block, rule.words) if len(s)]
                 if found:
-                    count += np.bincount(_cell(np.concatenate(found)), minlength=len(count))
+                    cell, n = np.unique(_cell(np.concatenate(found)), return_counts=True)
+                    count[cell] += n.astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(count) // part, dtype=np.int32)), pa.array([c.astype(np.uint32).tobytes() for c in count.reshape(-1, part)], pa.binary())], names=["k", "c"]
+            [pa.array(np.arange(len(count) // part, dtype=np.int32)), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in count.reshape(-1, part)], pa.binary())], names=["k", "c"]
         )
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         count = np.zeros(part, np.int64)
         for c in frame["c"]:
-            count += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "c": [count.tobytes()]})
+            count += np.frombuffer(c, np.uint8)
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "c": [np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8).tobytes()]})
 
     rows = docs.select("text").mapInArrow(run, "k int, c binary").groupBy("k").applyInPandas(total, "k int, c binary").collect()
-    count = np.zeros(1 << SKETCH_BITS, np.int64)
+    classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for k, c in rows:
-        count[k * part : (k + 1) * part] = np.frombuffer(c, np.int64)
-    return np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8)
+        classes[k * part : (k + 1) * part] = np.frombuffer(c, np.uint8)
+    return classes
 
 
 def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataFrame:
@@ -124,9 +141,9 @@ def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataF
                     p = int(rule.prefix(len(s)))
                     # A: class first, then a permutation; both fit into one key
                     a = (rarity[_cell(s)].astype(U64) << U64(56)) | (mix(s, 11) >> U64(8))
-                    head[row] = s[np.argpartition(a, p - 1)[:p]].view(np.int64)
-                    b, c = (np.unique((np.partition(mix(s, k), p - 1)[:p] >> U64(3)).astype(np.uint16)) for k in (21, 31))
-                    more[row] = len(b).to_bytes(4, "little") + b.tobytes() + c.tobytes()
+                    q = min(len(s), p + rule.common(len(s)) - 1)
+                    head[row] = s[np.argpartition(a, q - 1)[:q]].view(np.int64)
+                    more[row] = b"".join((np.sort(np.partition(mix(s, k), p - 1)[:p]) >> U64(48)).astype(np.uint16).tobytes() for k in (21, 31))
             at = np.append(0, np.cumsum([len(h) for h in head])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*head, np.empty(0, np.int64)]))), pa.array(more, pa.binary())],
@@ -137,13 +154,20 @@ def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataF
 
 
 def _orders(more: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = int.from_bytes(more[:4], "little")
-    both = np.frombuffer(more, np.uint16, offset=4)
-    return both[:k], both[k:]
+    """Places of the prefix tokens under B and under C, ascending, to 16 bits: rounding can only add agreement."""
+    both = np.frombuffer(more, np.uint16)
+    return both[: len(both) // 2], both[len(both) // 2 :]
 
 
-def _shares(x: bytes, y: bytes) -> bool:
-    return all(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(_orders(x), _orders(y), strict=True))
+def _may_link(x: bytes, y: bytes, n: int, m: int, rule: JaccardJoin) -> bool:
+    most = int(rule.differ(n, m))
+    for a, b in zip(_orders(x), _orders(y), strict=True):
+        last = min(a[-1], b[-1])
+        common = np.minimum(np.searchsorted(a, b, "right") - np.searchsorted(a, b, "left"), 1).sum()
+        common = max(int(common), int(np.isin(a, b).sum()))
+        if not common or int(np.searchsorted(a, last)) + int(np.searchsorted(b, last)) - 2 * common > most:
+            return False
+    return True
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -151,11 +175,53 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+#: Bits of the map by which wanted ids are recognised while scanning; past an eighth of it a join is used.
+MAP_BITS = 23
+
+
+def _id_map(wanted: DataFrame) -> np.ndarray | None:
+    """A bit map of the wanted ids, of fixed size; None when they are too many for it."""
+    if wanted.count() > 1 << (MAP_BITS - 3):
+        return None
+    part = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            seen[_place(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        parts = seen.reshape(-1, part)
+        full = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([np.packbits(parts[k]).tobytes() for k in full], pa.binary())], names=["k", "c"])
+
+    def any_of(frame: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(part // 8, np.uint8)
+        for c in frame["c"]:
+            seen |= np.frombuffer(c, np.uint8)
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "c": [seen.tobytes()]})
+
+    out = np.zeros((1 << MAP_BITS) // part * (part // 8), np.uint8).reshape(-1, part // 8)
+    for k, c in wanted.mapInArrow(run, "k int, c binary").groupBy("k").applyInPandas(any_of, "k int, c binary").collect():
+        out[k] = np.frombuffer(c, np.uint8)
+    return out.ravel()
+
+
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64), 14) >> U64(64 - MAP_BITS)).astype(np.int64)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(id, set) of the documents whose id is in wanted(id)."""
+    """(id, set) of the documents whose id is in wanted(id), and perhaps of some others."""
+    bits = _id_map(wanted)
+    docs = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    if bits is None:
+        docs = docs.join(wanted, "id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if sent.value is not None:
+                place = _place(batch.column(0).to_numpy(zero_copy_only=False))
+                batch = batch.filter(pa.array((sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
             out = [b""] * batch.num_rows
             for block in blocks(batch.column(1), lower=True):
                 for row, s in _sets(block, rule.words):
@@ -163,24 +229,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardJoin) -> DataFrame:
             for a in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 500], pa.array(out[a : a + 500], pa.binary())], names=["id", "set"])
 
-    kept = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    return kept.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sign: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Those of the pairs (a, b) that share prefixes under B and C and whose sets are similar enough."""
+def _plausible(pairs: DataFrame, sign: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Those of the pairs (a, b) whose prefixes under B and C agree enough."""
 
     @F.pandas_udf("boolean")
-    def shares(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_shares(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
+    def may_link(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([_may_link(a, b, c, d, rule) for a, b, c, d in zip(x, y, n, m, strict=True)], dtype=bool)
+
+    more = sign.select("id", "n", "more")
+    near = pairs.join(more.withColumnsRenamed({"id": "a", "more": "x"}), "a").join(more.withColumnsRenamed({"id": "b", "more": "y", "n": "m"}), "b")
+    return near.where(may_link("x", "y", "n", "m")).select("a", "b")
+
+
+def _verify(near: DataFrame, docs: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_linked(np.frombuffer(a, U64), np.frombuffer(b, U64), rule.percent) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    more = sign.select("id", "more")
-    near = pairs.join(more.withColumnsRenamed({"id": "a", "more": "x"}), "a").join(more.withColumnsRenamed({"id": "b", "more": "y"}), "b")
-    near = stored(near.where(shares("x", "y")).select("a", "b"), "ngram-near")
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     full = stored(sets_of(docs, wanted, rule), "ngram-sets")
     both = near.join(full.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(full.withColumnsRenamed({"id": "b", "set": "y"}), "b")
@@ -195,9 +265,11 @@ def _block_pairs(groups: DataFrame) -> DataFrame:
     return other.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "nb")
 
 
-def _kernel(groups: DataFrame, column: str, test: str, percent: int) -> DataFrame:
+def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> DataFrame:
     """Compares members of different components in each block pair; a spanning forest of what passes, as (token, a, b)."""
 
+    percent = rule.percent
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id").reset_index(drop=True)
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
@@ -211,81 +283,84 @@ def _kernel(groups: DataFrame, column: str, test: str, percent: int) -> DataFram
             return x
 
         found: list[tuple[int, int]] = []
-        able = np.zeros(len(ids), bool)
-        if test == "sets":
-            rows = [np.frombuffer(x, U64) for x in frame[column]]
-            halves = [(rows, 1)]
-        else:
-            both = [_orders(x) for x in frame[column]]
-            halves = [([b[k].astype(U64) for b in both], 0) for k in (0, 1)]
-        size = np.array([len(r) for r in halves[0][0]])
+        size = frame["n"].to_numpy()
+        halves = [[np.frombuffer(x, U64) for x in frame[column]]] if test == "sets" else [[b[k].astype(U64) for b in map(_orders, frame[column])] for k in (0, 1)]
         lists = []
-        for rows, _ in halves:
-            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            tokens, back = np.unique(np.concatenate(rows), return_inverse=True)
+        for rows in halves:
+            length = np.array([len(r) for r in rows])
+            owner = np.repeat(np.arange(len(rows)), length)
+            values = np.concatenate(rows)
+            tokens, back = np.unique(values, return_inverse=True)
             order = np.argsort(back, kind="stable")
             at = np.append(0, np.cumsum(np.bincount(back, minlength=len(tokens))))
-            mine = np.append(0, np.cumsum([len(r) for r in rows]))
-            lists.append((owner[order], at, back, mine))
+            mine = np.append(0, np.cumsum(length))
+            lists.append((owner[order], at, back, mine, values, values[mine[1:] - 1]))
         for x in range(len(ids)):
             ok = np.ones(len(ids), bool)
-            for owner, at, back, mine in lists:
+            for owner, at, back, mine, values, last in lists:
                 t = back[mine[x] : mine[x + 1]]
                 n = at[t + 1] - at[t]
                 hit = owner[np.repeat(at[t] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))]
                 count = np.bincount(hit, minlength=len(ids))
-                ok &= 100 * count >= percent * (size + size[x] - count) if test == "sets" else count > 0
+                if test == "sets":
+                    ok &= 100 * count >= percent * (size + size[x] - count)
+                else:
+                    upto = np.minimum(last, last[x])
+                    before = np.searchsorted(values[mine[x] : mine[x + 1]], upto) + np.add.reduceat((values < last[x]) & (values < np.repeat(last, np.diff(mine))), mine[:-1])
+                    ok &= (count > 0) & (before - 2 * count <= rule.differ(size, size[x]))
             ok[: x + 1] = False
             ok &= label != label[x]
             if i != j:
                 ok &= side != side[x]
-            if test != "sets":
-                able[x] |= ok.any()
-                able |= ok
-                continue
             for y in np.flatnonzero(ok).tolist():
                 a, b = find(label[x]), find(label[y])
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     found.append((int(ids[x]), int(ids[y])))
-        found += [(x, x) for x in ids[able].tolist()]
-        return pd.DataFrame({"token": frame["token"].iloc[0], "a": [x for x, _ in found], "b": [y for _, y in found]}).astype({"token": "int64", "a": "int64", "b": "int64"})
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
 
-    return groups.groupBy("token", "i", "j").applyInPandas(run, "token long, a long, b long")
+    return groups.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     sign = stored(signatures(docs, rule, frequency_classes(docs, rule)), "ngram-signatures")
-    classes = sign.where("n > 0").groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("id"))
-    reps = sign.join(classes.select("id"), sign["doc_id"] == F.col("id"), "left_semi").where("n > 0").withColumnRenamed("doc_id", "id")
-    tokens = reps.select("id", "n", F.explode("prefix").alias("token"))
+    classes = sign.where("n > 0").groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
+    copies = sign.join(classes.where("c > 1").drop("c"), ["f0", "f1", "n"]).where("doc_id > id").select("doc_id")
+    tokens = sign.select("doc_id", "prefix").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
     own = Window.partitionBy("token")
-    shared = tokens.select("id", "n", "token", F.count("*").over(own).alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"), F.col("n").alias("n"))).over(own).alias("pivot"))
-    shared = stored(shared.where("size > 1").select("token", "id", "n", "size", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "ngram-shared")
+    shared = tokens.select("id", "token", F.count("*").over(own).alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("p"))).over(own).alias("pivot"))
+    sizes = sign.select(F.col("doc_id").alias("id"), "n")
+    shared = shared.where("size > 1").select("token", "id", "size", F.col("pivot.p").alias("p")).join(sizes, "id")
+    shared = stored(shared, "ngram-shared")
+    reps = sign.select(F.col("doc_id").alias("id"), "n", "more")
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     small = shared.where(F.col("size") <= SMALL)
     right = small.select("token", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = small.join(right, "token").where((F.col("id") < F.col("b")) & fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b")
-    stars = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("p")) & fits(F.col("n"), F.col("pn"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    links = stored(_verify(pairs.union(stars).distinct(), docs, reps, rule), "ngram-links")
+    pairs = small.join(right, "token").where((F.col("id") < F.col("b")) & fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b", F.least("n", "m").alias("least"))
+    need = 1 + F.least(F.lit(7), F.floor(F.col("least") / 40))  # JaccardJoin.common
+    pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("common")).where(F.col("common") >= need).select("a", "b")
+    stars = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("p"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    near = stored(_plausible(pairs.union(stars).distinct(), reps, rule), "ngram-near")
+    links = stored(_verify(near, docs, rule), "ngram-links")
     merged = components(links, "ngram-components")
-    # large groups that still hold several components; groups of the same members count once
-    large = shared.where(F.col("size") > SMALL).select("token", "id", "size").join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = large.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(38,0)")).alias("y"))
-    once = mixed.where("lo < hi").groupBy("x", "y").agg(F.min("token").alias("token"))
-    large = stored(large.join(once.select("token"), "token", "left_semi"), "ngram-large")
-    if large.isEmpty():
-        found = links
-    else:
-        able = _kernel(_block_pairs(large.join(reps.select("id", "more"), "id")), "more", "orders", rule.percent)
-        able = stored(able.select("token", F.col("a").alias("id")).distinct(), "ngram-able")
-        full = stored(sets_of(docs, able.select("id").distinct(), rule), "ngram-large-sets")
-        again = large.join(able, ["token", "id"], "left_semi").join(full, "id")
-        found = links.union(_kernel(_block_pairs(again), "set", "sets", rule.percent).select("a", "b"))
-        merged = components(found, "ngram-components")
-    label = classes.join(merged.withColumnRenamed("label", "c"), "id", "left").select("f0", "f1", "n", F.coalesce("c", "id").alias("c"))
+    large = shared.where(F.col("size") > SMALL).select("token", "id", "size", "n")
+    if not large.isEmpty():
+        # plausible pairs across the clusters that a large group still holds; groups of the same members count once
+        own = large.join(components(near, "ngram-clusters"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(38,0)")).alias("y"))
+        once = mixed.where("lo < hi").groupBy("x", "y").agg(F.min("token").alias("token"))
+        across = _kernel(_block_pairs(own.join(once.select("token"), "token", "left_semi").join(reps.drop("n"), "id")), "more", "orders", rule)
+        across = stored(across.distinct(), "ngram-across")
+        clusters = components(near.union(across), "ngram-clusters").withColumnRenamed("label", "token")
+        # within a cluster, all members of large groups whose components still differ
+        members = large.select("id", "n").distinct().join(clusters, "id").join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        members = stored(members.join(open_.select("token", "size"), "token"), "ngram-members")
+        found = _kernel(_block_pairs(members.join(sets_of(docs, members.select("id"), rule), "id")), "set", "sets", rule)
+        merged = components(links.union(found), "ngram-components")
+    label = classes.drop("c").join(merged.withColumnRenamed("label", "c"), "id", "left").select("f0", "f1", "n", F.coalesce("c", "id").alias("c"))
     out = sign.select("doc_id", "n", "f0", "f1").join(label, ["f0", "f1", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
