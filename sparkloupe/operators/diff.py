@@ -62,7 +62,7 @@ def kill_rate(killed: Column, survived: Column) -> Column:
 
 
 #: Statuses of which a single mutant fails the gate.
-INTOLERABLE = ("no_tests", "suspicious", "timeout", "check_was_interrupted_by_user", "segfault", "caught_by_type_check")
+INTOLERABLE = ("no_tests", "timeout", "suspicious", "not_checked", "check_was_interrupted_by_user", "segfault")
 
 
 def mutation_gate(mutants: DataFrame, by: list[str], floor: float = 0.70) -> DataFrame:
