@@ -186,9 +186,14 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy:
     """Learns from at most `sample` texts of each label."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select("lang", "text", F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id")
+    known = docs.where(~held_out() & F.col("lang").isNotNull())
+    h = F.xxhash64("doc_id", F.lit(3))
+    # about three samples of each label pass this bound, so that ranking never sees a whole label
+    bound = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * sample) / F.count("*")).alias("part"))
+    rows = known.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", "text", h.alias("h"), "doc_id")
+    near = rows.select("lang", "doc_id", "h").join(bound, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.col("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = rows.select("lang", "doc_id", "h").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "h")
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "h")
     picked = rows.join(F.broadcast(chosen), ["doc_id", "h"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
