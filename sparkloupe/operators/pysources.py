@@ -143,7 +143,7 @@ def import_edges(parsed: DataFrame) -> DataFrame:
 def clones(funcs: DataFrame, added: DataFrame, *, threshold: float = 0.95, api_gate: float = 0.6, min_tokens: int = 40) -> DataFrame:
     """Best near copy of each function whose def line was added; symmetric pairs once.  added: (file, line)."""
     pairs = similarity.overlaps(funcs, min_tokens=min_tokens, api_gate=api_gate, threshold=0.0).where(F.col("struct") >= threshold)
-    both = pairs.select("i", "j", "struct").union(pairs.select("j", "i", "struct"))
+    both = similarity.both_ways(pairs, F.col("struct")).withColumnRenamed("score", "struct")
     targets = funcs.join(added, (funcs["file"] == added["file"]) & (funcs["line"] == added["line"]), "left_semi").select(F.col("ordinal").alias("i"))
     best = similarity.best_match(both.join(targets, "i"), "i", "struct", ["j"])
     return similarity.collapse_symmetric(best, "i", "j", ["i"])

@@ -26,9 +26,11 @@ def jaccard_pairs(items: DataFrame, threshold: float, kin: list[str] | None = No
     order = F.row_number().over(Window.partitionBy("i").orderBy("f", "t"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     prefix = rows.join(frequency.where("f > 1"), "t", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("k", order)
-    prefix = prefix.where((F.col("k") <= keep) & (F.col("f") > 1)).select("i", *kin, "n", "t")
-    other = prefix.select(F.col("i").alias("j"), *kin, F.col("n").alias("m"), "t")
-    near = prefix.join(other, [*kin, "t"]).where((F.col("i") < F.col("j")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("i", "j").distinct()
+    prefix = prefix.where((F.col("k") <= keep) & (F.col("f") > 1)).select("i", *kin, "n", "t", "k")
+    other = prefix.select(F.col("i").alias("j"), *kin, F.col("n").alias("m"), "t", F.col("k").alias("p"))
+    # at a pair's first common token, what follows in both must be enough; its row keeps every pair that can qualify
+    enough = 1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("p")) >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
+    near = prefix.join(other, [*kin, "t"]).where((F.col("i") < F.col("j")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & enough).select("i", "j").distinct()
     sets = base.select("i", "tokens")
     both = near.join(sets.withColumnRenamed("tokens", "x"), "i").join(sets.withColumnsRenamed({"i": "j", "tokens": "y"}), "j")
     both = both.select("i", "j", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("n_i"), F.size("y").alias("n_j"))
@@ -83,6 +85,12 @@ def overlaps(functions: DataFrame, *, min_tokens: int = 40, api_gate: float = 0.
     return rows.select("i", "j", "a_file", "a_symbol", "b_file", "b_symbol", "struct", "api", "combined")
 
 
+def both_ways(pairs: DataFrame, score: Column) -> DataFrame:
+    """(i, j, score) of every pair in both directions, from one evaluation of the pairs."""
+    turned = F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j"), score.alias("score")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), score.alias("score")))
+    return pairs.select(F.explode(turned).alias("r")).select("r.i", "r.j", "r.score")
+
+
 def best_match(pairs: DataFrame, target: str, score: str, ties: list[str]) -> DataFrame:
     """One best row of each target."""
     rank = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(score), *ties))

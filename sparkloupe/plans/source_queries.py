@@ -157,8 +157,7 @@ def best_clone_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best earlier or later match of each document, one row for a symmetric pair."""
     pairs = similarity.jaccard_pairs(_word_sets(spark, sf_dir), 0.6)
     score = F.col("common") / (F.col("n_i") + F.col("n_j") - F.col("common"))
-    both = pairs.select("i", "j", score.alias("score")).union(pairs.select("j", "i", score))
-    best = similarity.best_match(both, "i", "score", ["j"])
+    best = similarity.best_match(similarity.both_ways(pairs, score), "i", "score", ["j"])
     return similarity.collapse_symmetric(best, "i", "j", ["i"]).select("i", "j")
 
 
