@@ -191,7 +191,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy:
     # about three samples of each label pass this bound, so that ranking never sees a whole label
     bound = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * sample) / F.count("*")).alias("part"))
     rows = known.where(F.rlike("text", F.lit(r"\p{L}"))).select("lang", "text", h.alias("h"), "doc_id")
-    near = rows.select("lang", "doc_id", "h").join(bound, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.col("part"))
+    # a row per label; the model holds a machine for each pair of labels of a family, so they are few
+    near = rows.select("lang", "doc_id", "h").join(F.broadcast(bound), "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.col("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "h")
     picked = rows.join(F.broadcast(chosen), ["doc_id", "h"], "left_semi")
