@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.functions import text
+from sparkloupe.functions import jssource, text
 from sparkloupe.operators import diff, findings, graph, pysources, reach, rules, similarity
 from sparkloupe.session import local_session
 from sparkloupe.sinks import reports as sinks
@@ -30,11 +30,11 @@ class Run:
         self.spark: SparkSession = local_session(app="sparkloupe-cli")
         self.spark.sparkContext.setLogLevel("ERROR")
 
-    def tree(self, paths: list[str] | None = None, tests: bool = False) -> DataFrame:
+    def tree(self, paths: list[str] | None = None, tests: bool = False, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
         roots = paths or [r for r in self.config.source_roots if os.path.exists(os.path.join(self.root, r))] + ([r for r in self.config.test_roots if os.path.exists(os.path.join(self.root, r))] if tests else [])
         if not roots:
             raise FileNotFoundError("no source root exists")
-        found = files.tree(self.spark, self.root, roots, keep_tests=bool(paths) or tests, test_roots=tuple(self.config.test_roots))
+        found = files.tree(self.spark, self.root, roots, suffixes, keep_tests=bool(paths) or tests, test_roots=tuple(self.config.test_roots))
         return files.without(found, self.config.exclude)
 
     def parse(self, tree: DataFrame) -> DataFrame:
@@ -135,22 +135,39 @@ def trend(args: argparse.Namespace) -> int:
 
 def overlaps(args: argparse.Namespace) -> int:
     run = Run(args)
-    funcs = pysources.functions(run.parse(run.tree(args.paths))).persist()
+    funcs = pysources.functions(run.parse(run.tree(args.paths, suffixes=(".py", *jssource.SUFFIXES)))).persist()
     n, eligible = funcs.count(), funcs.where(F.size("tokens") >= args.min_tokens).count()
     if not eligible:
         raise ValueError("no functions to compare")
     pairs = similarity.overlaps(funcs, min_tokens=args.min_tokens, threshold=args.threshold).persist()
     ordered = pairs.withColumns({c: F.bround(c, 3) for c in ("combined", "struct", "api")}).orderBy(F.desc("combined"), "a_file", "a_symbol", "b_file", "b_symbol")
     rows = (ordered.limit(args.top) if args.top > 0 else ordered).collect()
+    second = []
+    if args.vectors:
+        near = second_pass(run.spark, funcs, pairs, args.vectors, args.min_tokens).orderBy(F.desc("embed"), "a_file", "a_symbol", "b_file", "b_symbol")
+        second = (near.limit(args.top) if args.top > 0 else near).collect()
     if args.json:
-        print(json.dumps({"threshold": args.threshold, "count": len(rows), "pairs": [{k: v for k, v in r.asDict().items() if k not in ("i", "j")} for r in rows], "functions_scanned": n, "functions_compared": eligible, "pairs_above_threshold": pairs.count(), "min_tokens": args.min_tokens, "embed_active": False}, indent=2))
+        print(json.dumps({"threshold": args.threshold, "count": len(rows), "pairs": [{k: v for k, v in r.asDict().items() if k not in ("i", "j")} for r in rows], "functions_scanned": n, "functions_compared": eligible, "pairs_above_threshold": pairs.count(), "min_tokens": args.min_tokens, "embed_active": bool(args.vectors), "embed_count": len(second), "embed_pairs": [r.asDict() for r in second]}, indent=2))
     else:
         print(f"{len(rows)} pairs at {args.threshold} or more")
         for r in rows:
             print(f"  {r.combined:<6} {r.a_file} '{r.a_symbol}'  <->  {r.b_file} '{r.b_symbol}'   [struct {r.struct} api {r.api}]")
+        for r in second:
+            print(f"  {r.embed:<6} {r.a_file} '{r.a_symbol}'  <->  {r.b_file} '{r.b_symbol}'   [vectors only]")
     return 0
 
 
+def second_pass(spark: SparkSession, funcs: DataFrame, known: DataFrame, path: str, min_tokens: int) -> DataFrame:
+    """Nearest functions by vector that the first pass did not report; the cache at path holds (sha, vec)."""
+    cache = spark.read.parquet(path).select(F.col("sha").alias("source_sha256"), "vec").dropDuplicates(["source_sha256"])
+    own = funcs.where((F.size("tokens") >= min_tokens) & (F.trim("source") != "")).join(cache, "source_sha256")
+    near = similarity.nearest(own.select(F.col("ordinal").alias("i"), "vec", "language", "file", "start_byte", "end_byte"))
+    pairs = near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("score").alias("score"))
+    fresh = similarity.new_pairs(pairs, known.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    side = lambda p: own.select(F.col("ordinal").alias(p), F.col("file").alias(f"{p}_file"), F.col("symbol").alias(f"{p}_symbol"))
+    return fresh.join(side("a"), "a").join(side("b"), "b").select("a_file", "a_symbol", "b_file", "b_symbol", F.bround("score", 3).alias("embed"))
+
+
 def reachability_scan(args: argparse.Namespace) -> int:
     dead = Run(args).dead().persist()
     shown = dead if args.json else findings.capped_noise(dead, args.top)
@@ -303,6 +320,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", type=float, default=0.55)
     p.add_argument("--top", type=int, default=50)
     p.add_argument("--min-tokens", type=int, default=40)
+    p.add_argument("--vectors", default=None, help="parquet of (sha, vec) for the second pass")
     add("reachability-scan", reachability_scan, "json").add_argument("--top", type=int, default=50)
     add("cycles", cycles, "json").add_argument("--advisory", action="store_true")
     p = add("growth", growth, "paths", "json")

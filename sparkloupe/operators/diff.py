@@ -57,6 +57,20 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     return paths.join(best, "path", "left")
 
 
+def below(paths: DataFrame, prefixes: DataFrame, keep: bool = True) -> DataFrame:
+    """Paths that lie below (keep) or outside any prefix; compared by whole parts."""
+    found = longest_prefix(paths.select("path").distinct(), prefixes).where("prefix IS NOT NULL").select("path")
+    return paths.join(found, "path", "left_semi" if keep else "left_anti")
+
+
+def test_roots(paths: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(path, tests) by the longest mapped prefix (prefix, tests); any path without one leaves tests null for all,
+    as only the whole suite then covers the change."""
+    matched = longest_prefix(paths, mapping.select("prefix")).join(mapping, "prefix", "left").select("path", "tests")
+    open_ = matched.agg(F.bool_or(F.col("tests").isNull()).alias("_open"))
+    return matched.crossJoin(F.broadcast(open_)).select("path", F.when(~F.col("_open"), F.col("tests")).alias("tests"))
+
+
 def kill_rate(killed: Column, survived: Column) -> Column:
     return F.when(killed + survived == 0, F.lit(1.0)).otherwise(killed / (killed + survived))
 

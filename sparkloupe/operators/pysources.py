@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import tokenize
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloupe.functions import pysource, text
+from sparkloupe.functions import jssource, pysource, text
 from sparkloupe.functions.pysource import Source
 from sparkloupe.operators import diff, findings, graph, reach, rules, similarity
 
@@ -20,8 +22,18 @@ _SCHEMA = pa.schema(_FIELDS)
 PARSED = "path string, kind string, line int, ordinal int, a string, b string, c string, d string, x array<string>, y array<string>, m bigint, n bigint"
 
 
+def _function(f: dict) -> dict:
+    return {"kind": "function", "a": f["symbol"], "line": f["line"], "b": f["source"], "x": f["tokens"], "y": f["semantic"], "m": f["start_byte"], "n": f["end_byte"]}
+
+
 def _facts(path: str, source: str, dotted: str, is_test: bool) -> Iterator[dict]:
-    """Tagged rows of one file."""
+    """Tagged rows of one file; of JavaScript and TypeScript files only the functions."""
+    if path.endswith(jssource.SUFFIXES):
+        try:
+            yield from map(_function, jssource.functions(source))
+        except (jssource.JsError, KeyError, IndexError) as error:
+            yield {"kind": "finding", "a": "javascript/parse-error", "line": 1, "b": str(error)}
+        return
     try:
         parsed = Source(path, source, is_test)
         parsed.tokens  # noqa: B018 - tokenizing fails on what cannot be analysed
@@ -35,10 +47,11 @@ def _facts(path: str, source: str, dotted: str, is_test: bool) -> Iterator[dict]
         yield {"kind": "finding", "a": rule, "line": line, "b": detail}
     for line, kind in rules.redundancies(parsed):
         yield {"kind": "redundancy", "a": kind, "line": line}
+    for c in parsed.comments:
+        yield {"kind": "comment", "a": c.body, "line": c.line, "m": c.column, "n": int(c.inline)}
     for scope, line, codes in pysource.suppressions(parsed):
         yield {"kind": "suppression", "a": scope, "line": line, "x": codes}
-    for f in pysource.functions(parsed):
-        yield {"kind": "function", "a": f["symbol"], "line": f["line"], "b": f["source"], "x": f["tokens"], "y": f["semantic"], "m": f["start_byte"], "n": f["end_byte"]}
+    yield from map(_function, pysource.functions(parsed))
     for kind, a, b, c in pysource.module_facts(parsed, dotted):
         yield {"kind": kind, "a": a, "b": b, "c": c, "d": dotted}
     yield {"kind": "digest", "a": hashlib.sha256(ast.dump(parsed.tree).encode()).hexdigest()}
@@ -80,6 +93,31 @@ def kept_findings(parsed: DataFrame) -> DataFrame:
     return findings.suppress(raw_findings(parsed), directives(parsed))
 
 
+def comments(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind = 'comment'").select("path", "line", F.col("m").cast("int").alias("col"), F.col("a").alias("body"), (F.col("n") == 1).alias("inline"))
+
+
+def masked(files: DataFrame) -> DataFrame:
+    """files(path, source) with strings and comments blanked, offsets kept; null where a file has no tokens to tell."""
+
+    @F.pandas_udf("string")
+    def blank(sources: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else pysource.masked(text)
+            except (*pysource.PARSE_FAILURES, tokenize.TokenError):
+                return None
+
+        return sources.map(one)
+
+    return files.select("path", blank("source").alias("masked"))
+
+
+def by_language(funcs: DataFrame, min_tokens: int = 40) -> DataFrame:
+    """(language, functions, eligible) of functions."""
+    return funcs.groupBy("language").agg(F.count("*").alias("functions"), F.count_if(F.size("tokens") >= min_tokens).alias("eligible"))
+
+
 def redundancies(parsed: DataFrame) -> DataFrame:
     return parsed.where("kind = 'redundancy'").select(F.col("path").alias("file_path"), "line", F.col("a").alias("redundancy"))
 
@@ -88,7 +126,7 @@ def functions(parsed: DataFrame) -> DataFrame:
     """Fingerprints; ordinal follows file and breadth-first place."""
     rows = parsed.where("kind = 'function'").select(
         F.col("path").alias("file"), "line", F.col("a").alias("symbol"), F.col("x").alias("tokens"), F.col("y").alias("semantic"), F.col("m").alias("start_byte"), F.col("n").alias("end_byte"),
-        F.col("b").alias("source"), F.sha2("b", 256).alias("source_sha256"), F.lit("python").alias("language"), F.col("ordinal").alias("place"),
+        F.col("b").alias("source"), F.sha2("b", 256).alias("source_sha256"), F.when(F.rlike("path", F.lit(r"\.([cm]?[jt]s|[jt]sx)$")), "javascript").otherwise("python").alias("language"), F.col("ordinal").alias("place"),
     )
     # (path, place) made one sortable number without a global sort: the path's hash, then the place
     return rows.withColumn("ordinal", F.shiftleft(F.shiftright(F.xxhash64("file"), 24), 20) + F.col("place"))

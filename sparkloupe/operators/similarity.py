@@ -106,15 +106,17 @@ def collapse_symmetric(pairs: DataFrame, a: str, b: str, order: list[str]) -> Da
 def nearest(vectors: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     """(i, j, rank, score) of the k nearest other vectors of each, by dot product; ties go to the smaller id.
 
-    vectors: (i, vec).  Blocks of vectors meet block by block in numpy, each task keeps k of each of its rows,
+    vectors: (i, vec), and perhaps (language, file, start_byte, end_byte): then only vectors of one language
+    meet, and none whose spans in one file contain one another.  Blocks of vectors meet block by block in numpy, each task keeps k of each of its rows,
     and the k best of all blocks are ranked; the matrix of all pairs never exists.
     """
     n = vectors.count()
     nb = max(1, -(-n // block))
-    own = vectors.select("i", "vec", F.pmod(F.xxhash64("i"), F.lit(nb)).cast("int").alias("q"))
+    extra = [c for c in ("language", "file", "start_byte", "end_byte") if c in vectors.columns]
+    own = vectors.select("i", "vec", *extra, F.pmod(F.xxhash64("i"), F.lit(nb)).cast("int").alias("q"))
     every = F.sequence(F.lit(0), F.lit(nb - 1))
-    asks = own.select("i", "vec", "q", F.explode(every).alias("d"), F.lit(True).alias("ask"))
-    data = own.select("i", "vec", F.explode(every).alias("q"), F.col("q").alias("d"), F.lit(False).alias("ask"))
+    asks = own.select("i", "vec", *extra, "q", F.explode(every).alias("d"), F.lit(True).alias("ask"))
+    data = own.select("i", "vec", *extra, F.explode(every).alias("q"), F.col("q").alias("d"), F.lit(False).alias("ask"))
 
     def top(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["ask"]].sort_values("i"), frame[~frame["ask"]].sort_values("i")
@@ -124,6 +126,14 @@ def nearest(vectors: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
         x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
         score = x @ y.T
         score[ids[:, None] == others[None, :]] = -np.inf
+        of = lambda c: (a[c].to_numpy()[:, None], b[c].to_numpy()[None, :])
+        if "language" in extra:
+            p, q = of("language")
+            score[p != q] = -np.inf
+        if len(extra) == 4:
+            (f, g), (s, t), (e, d) = of("file"), of("start_byte"), of("end_byte")
+            nested = ((s <= t) & (d <= e)) | ((t <= s) & (e <= d))
+            score[(f == g) & nested & ((s != t) | (e != d)) & (s >= 0) & (t >= 0) & (s < e) & (t < d)] = -np.inf
         m = min(k, score.shape[1])
         part = np.argsort(-score, axis=1, kind="stable")[:, :m]
         out = pd.DataFrame({"i": np.repeat(ids, m), "j": others[part].ravel(), "score": np.take_along_axis(score, part, 1).ravel()})

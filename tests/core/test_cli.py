@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import subprocess
 
@@ -37,7 +38,7 @@ def run(tree, capsys, *arguments):
     return code, capsys.readouterr().out
 
 
-def test_commands(tree, capsys):
+def test_commands(tree, capsys, spark):
     code, out = run(tree, capsys, "scan", "--json")
     body = json.loads(out)
     assert code == 0 and body["schemaVersion"] == "1" and body["summary"]["total"] == len(body["diagnostics"]) > 30
@@ -68,6 +69,9 @@ def test_commands(tree, capsys):
     assert {"_orphan", "only_tested"} <= {s["symbol"] for s in json.loads(out)["symbols"]}
     code, out = run(tree, capsys, "overlaps", "--min-tokens", "10", "--json")
     assert code == 0 and json.loads(out)["functions_scanned"] > 10
+    spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), [1.0, 0.0]) for t in ("def mentioned():\n    return 3", "def hook_for_tests():\n    return 1")], "sha string, vec array<double>").write.parquet(str(tree / "vectors"))
+    body = json.loads(run(tree, capsys, "overlaps", "--min-tokens", "2", "--threshold", "2", "--vectors", str(tree / "vectors"), "--json")[1])
+    assert body["count"] == 0 and [{p["a_symbol"], p["b_symbol"]} for p in body["embed_pairs"]] == [{"mentioned", "hook_for_tests"}]
     (tree / "dead.txt").write_text("src/app/new.py:1: unused function 'fresh_thing' (60% confidence)\nsrc/app/util.py:5: unused function 'load' (90% confidence)\n")
     code, out = run(tree, capsys, "vulture-changed", "--report", str(tree / "dead.txt"))
     assert code == 0 and out.startswith("[advisory]") and "util" not in out

@@ -99,6 +99,12 @@ def test_nearest_blocks(spark, block):
     assert {(r.i, r.j) for r in similarity.nearest(df, 3, block).collect()} == want
 
 
+def test_nearest_masks(spark):
+    rows = [(1, [1.0, 0.0], "py", "a", 0, 90), (2, [1.0, 0.0], "py", "a", 10, 80), (3, [0.8, 0.6], "py", "b", 0, 9), (4, [1.0, 0.0], "js", "c", 0, 9)]
+    df = spark.createDataFrame(rows, "i long, vec array<double>, language string, file string, start_byte long, end_byte long")
+    assert {(r.i, r.j) for r in similarity.nearest(df).collect()} == {(1, 3), (2, 3), (3, 1), (3, 2)}
+
+
 def test_overlaps(spark):
     same = [f"T{k % 7}" for k in range(60)]
     rows = [
@@ -142,3 +148,12 @@ def test_reports(spark, tmp_path):
     path.write_text('{"timestamp": "2026-01-01T00:00:00+00:00", "score": 80, "label": "Healthy", "errors": 1}\n\nbroken\n{"timestamp": "2025-01-01T00:00:00+00:00", "score": 70, "label": "Needs Work"}\n')
     rows = sorted(reports.history(spark, str(path)).collect(), key=lambda r: r.ordinal)
     assert [(r.score, r.errors, r.files) for r in rows] == [(80, 1, 0), (70, 0, 0)]
+
+
+def test_prefixes(spark):
+    paths = spark.createDataFrame([("src/a/x.py",), ("src/ab/y.py",), ("lib/z.py",)], "path string")
+    mapping = spark.createDataFrame([("src/a", ["t1"]), ("src", ["t2"]), ("lib/q", ["t3"])], "prefix string, tests array<string>")
+    assert {r.path: r.prefix for r in diff.longest_prefix(paths, mapping.select("prefix")).collect()} == {"src/a/x.py": "src/a", "src/ab/y.py": "src", "lib/z.py": None}
+    assert [r.path for r in diff.below(paths, mapping.select("prefix"), keep=False).collect()] == ["lib/z.py"]
+    assert {r.tests for r in diff.test_roots(paths, mapping).collect()} == {None}
+    assert sorted(r.tests for r in diff.test_roots(paths.where("path like 'src%'"), mapping).collect()) == [["t1"], ["t2"]]
