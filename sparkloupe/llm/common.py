@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +189,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one step of tree_sum adds up; three steps cover 256 ** 3 tasks.
+FAN_IN = 256
+
+
+def task_number() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def tree_sum(parts: DataFrame, dtype: type) -> DataFrame:
+    """(k, m) of rows (k, task, m): the arrays m of each k added up, at most about FAN_IN of them in one group."""
+    kind = np.dtype(dtype)
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(frame["m"].iloc[0], kind).copy()
+        for m in frame["m"].iloc[1:]:
+            total += np.frombuffer(m, kind)
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "task": [frame["task"].iloc[0]], "m": [total.tobytes()]})
+
+    for _ in range(2):
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("k", "task").applyInPandas(add, "k int, task int, m binary")
+    return parts.withColumn("task", F.lit(0)).groupBy("k").applyInPandas(add, "k int, task int, m binary").drop("task")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import U64, Block, blocks, mix, stored, table
+from sparkloupe.llm.common import U64, Block, blocks, mix, stored, table, task_number, tree_sum
 from sparkloupe.llm.graph import components
 
 SKETCH_BITS = 23
@@ -104,17 +104,16 @@ def frequency_classes(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
                 if found:
                     cell, n = np.unique(_cell(np.concatenate(found)), return_counts=True)
                     count[cell] += n.astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(count) // part, dtype=np.int32)), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in count.reshape(-1, part)], pa.binary())], names=["k", "c"]
-        )
+        cells = np.minimum(count, 255).astype(np.uint32).reshape(-1, part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array([task_number()] * len(cells), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["k", "task", "m"])
 
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(part, np.int64)
-        for c in frame["c"]:
-            count += np.frombuffer(c, np.uint8)
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "c": [np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8).tobytes()]})
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.frombuffer(m.as_buffer(), np.uint32) for m in batch.column(1)]
+            out = [np.log2(np.maximum(1, c / max(1.0, c.mean()))).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["k", "c"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, c binary").groupBy("k").applyInPandas(total, "k int, c binary").collect()
+    rows = tree_sum(docs.select("text").mapInArrow(run, "k int, task int, m binary"), np.uint32).mapInArrow(classed, "k int, c binary").collect()
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for k, c in rows:
         classes[k * part : (k + 1) * part] = np.frombuffer(c, np.uint8)
