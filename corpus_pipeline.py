@@ -26,7 +26,8 @@ NEAR = JaccardJoin(words=5, percent=80)
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judged(quality_measures(docs)).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # no column of docs can clash with a measure
+    return judged(quality_measures(whole)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +44,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; n_chars follows the text."""
-    new = replace_pii(docs)
+    new = replace_pii(docs, count_col="_pii_n")
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies (how often), and their source's target."""
-    mix = mix_sources(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "taken", "copies")
-    return docs.join(mix, "doc_id")
+    names = ("size", "source_size", "target", "taken", "copies")
+    mix = mix_sources(docs).where("copies > 0").select("doc_id", *names)
+    return docs.drop(*names).join(mix, "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -195,8 +195,8 @@ def surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
     return seen.join(now.select("type", "canon", "new"), ["type", "canon"]).select("mention", _written(F.col("type"), F.col("mention"), F.col("new")).alias("written"))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with its text's personal data replaced, and n_pii, the number of mentions."""
+def replace_pii(docs: DataFrame, key: str = KEY, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_pii") -> DataFrame:
+    """The input with its text's personal data replaced, and the number of mentions."""
     text = F.col(text_col)
     found = docs.where(F.rlike(text, F.lit(_HINT))).select(F.col(id_col).alias("_pii_id"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_pii_found"))
     found = stored(found.where(F.size("_pii_found") > 0), "pii-found")
@@ -209,8 +209,8 @@ def replace_pii(docs: DataFrame, key: str = KEY, *, id_col: str = "doc_id", text
     new = F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col("_pii_map"), m), m))
     between = F.split(text, PATTERN, -1)
     whole = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = rows.withColumn("n_pii", F.when(has & text.isNotNull(), F.size(mentions)).otherwise(0)).withColumn(text_col, F.when(has & (F.col("n_pii") > 0), whole).otherwise(text))
-    return out.select(*docs.columns, "n_pii")
+    out = rows.withColumn(count_col, F.when(has & text.isNotNull(), F.size(mentions)).otherwise(0)).withColumn(text_col, F.when(has & (F.col(count_col) > 0), whole).otherwise(text))
+    return out.select(*(c for c in docs.columns if c != count_col), count_col)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,22 @@ def test_stages(spark, sf, tmp_path):
             assert all(r.taken == r.copies * r.size and r.copies in (1, 2) for r in rows.values())
         before = rows
     assert cp.run(spark, sf).count() == len(before)
+
+
+def test_clashing_columns_and_odd_rows(spark, sf):
+    """Extra columns named like working columns stay as they are; nulls, empty and repeated texts do not matter."""
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, words, "en", None, 5), (2, words, None, "s", None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, words + " call +1 (377) 555-0271", "en", "s", 9), (6, " ".join(f"z{k}" for k in range(70)), "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: f"'{c}!'" for c in ("size", "component_id", "item_id", "share", "n_pii", "token", "label", "id", "set", "more", "prefix", "g", "keys", "mention", "type", "canon", "salt", "h", "n_words", "kept", "row", "base_failed")}
+    docs = docs.selectExpr("*", *(f"{v} AS {c}" for c, v in extra.items()))
+    now = docs
+    for k, (_, stage) in enumerate(cp.STAGES):
+        now = stage(spark, now, sf)
+        got = {r.doc_id: r for r in now.collect()}
+        assert set(got) == ({1, 2, 5, 6} if k == 0 else {1, 6}) or k == 4
+        if k < 4:
+            assert now.columns == docs.columns and all(r[c] == f"{c}!" for r in got.values() for c in extra)
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert [r.text for r in cp.personal_data(spark, docs.where("doc_id = 5"), sf).collect()][0].startswith(words + " call +1 (")
