@@ -1,0 +1 @@
+"""Code-quality, similarity and corpus analytics on PySpark."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloupe.functions import jssource, text
-from sparkloupe.operators import diff, findings, graph, pysources, reach, rules, similarity
+from sparkloupe.operators import diff, findings, graph, pysources, rules, similarity
 from sparkloupe.session import local_session
 from sparkloupe.sinks import reports as sinks
 from sparkloupe.sources import config, files, reports

@@ -1,0 +1 @@
+"""Column functions and the shared source parse."""

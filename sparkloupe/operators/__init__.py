@@ -1,0 +1 @@
+"""Operators, DataFrame in and DataFrame out."""

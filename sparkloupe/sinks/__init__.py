@@ -1,0 +1 @@
+"""Reports."""

@@ -1,0 +1 @@
+"""Readers: trees, git, reports, history, configuration."""

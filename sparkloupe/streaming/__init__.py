@@ -1,0 +1 @@
+"""Reserved: the analyses are batch only, so there is nothing here yet."""
