@@ -9,13 +9,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -198,8 +198,11 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
-def tree_sum(parts: DataFrame, dtype: type) -> DataFrame:
-    """(k, m) of rows (k, task, m): the arrays m of each k added up, at most about FAN_IN of them in one group."""
+def tree_sum(parts: DataFrame, dtype: type, finish: Callable[[np.ndarray], np.ndarray] = lambda total: total) -> DataFrame:
+    """(k, m) of rows (k, task, m): the arrays m of each k added up, at most about FAN_IN of them in one group.
+
+    finish is applied to each sum in the last step, so that no second Python worker is needed for it.
+    """
     kind = np.dtype(dtype)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -210,7 +213,12 @@ def tree_sum(parts: DataFrame, dtype: type) -> DataFrame:
 
     for _ in range(2):
         parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("k", "task").applyInPandas(add, "k int, task int, m binary")
-    return parts.withColumn("task", F.lit(0)).groupBy("k").applyInPandas(add, "k int, task int, m binary").drop("task")
+
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(add(frame)["m"].iloc[0], kind)
+        return pd.DataFrame({"k": [frame["k"].iloc[0]], "m": [finish(total).tobytes()]})
+
+    return parts.groupBy("k").applyInPandas(last, "k int, m binary")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -218,7 +226,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Stored bytes of input that one group of a packed exchange stands for at most.
+GROUP_BYTES = 16 << 20
 
 
+def n_groups(df: DataFrame) -> int:
+    """Groups that keep a share of the input small enough for a Python worker: the session's shuffle
+    partitions, or more where the input's size by Spark's statistics asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # without statistics Spark assumes the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-known // GROUP_BYTES))

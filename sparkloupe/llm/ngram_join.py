@@ -107,13 +107,10 @@ def frequency_classes(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
         cells = np.minimum(count, 255).astype(np.uint32).reshape(-1, part)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array([task_number()] * len(cells), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["k", "task", "m"])
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(m.as_buffer(), np.uint32) for m in batch.column(1)]
-            out = [np.log2(np.maximum(1, c / max(1.0, c.mean()))).astype(np.uint8).tobytes() for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["k", "c"])
+    def classed(count: np.ndarray) -> np.ndarray:
+        return np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8)
 
-    rows = tree_sum(docs.select("text").mapInArrow(run, "k int, task int, m binary"), np.uint32).mapInArrow(classed, "k int, c binary").collect()
+    rows = tree_sum(docs.select("text").mapInArrow(run, "k int, task int, m binary"), np.uint32, classed).collect()
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for k, c in rows:
         classes[k * part : (k + 1) * part] = np.frombuffer(c, np.uint8)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import STEP_BYTES, U64, Block, _powers, blocks, mix, n_partitions, stored, table, text_views
+from sparkloupe.llm.common import STEP_BYTES, U64, Block, _powers, blocks, mix, n_groups, stored, table, text_views
 
 WINDOW = 13
 #: Names gathered by a task before it deals them out.
@@ -328,7 +328,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of docs(doc_id, text)."""
     nameless = docs.where("doc_id is null")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    n = n_partitions(docs.sparkSession)
+    n = n_groups(docs)
     bits = max(1, (n - 1).bit_length())
     # exact copies of an earlier document
     digest = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("m"))
