@@ -190,10 +190,17 @@ def shared_entries(rows: DataFrame, n_chunks: int, later: bool, dtype: type) ->
 
 
 def _marks(part: pa.Table) -> np.ndarray:
-    """One number for each (document, key) of the packed rows of a chunk."""
+    """One number for each (document, key) of the packed rows of a chunk, sorted."""
     key = np.concatenate([np.empty(0, U64), *(_unplanes(x.as_py(), U64) for x in part.column("keys"))])
     doc = np.concatenate([np.empty(0, np.int64), *(_unplanes(x.as_py(), np.int64) for x in part.column("docs"))])
-    return _mark(key, doc)
+    return np.sort(_mark(key, doc))
+
+
+def _among(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted marks."""
+    if not len(marks):
+        return np.zeros(len(x), bool)
+    return marks[np.minimum(np.searchsorted(marks, x), len(marks) - 1)] == x
 
 
 def _mark(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -268,7 +275,7 @@ def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> Da
                 copy = np.fromiter((x in copies for x in own_id.tolist()), bool, len(own_id)) & (np.diff(block.first) >= window)
                 own, key, low, high = cores(block, window)
                 bucket, short = _entries(key, bits)
-                hit = np.isin(_mark(short.astype(U64) | (bucket.astype(U64) << U64(32)), own_id[own]), marks) & ~copy[own]
+                hit = _among(_mark(short.astype(U64) | (bucket.astype(U64) << U64(32)), own_id[own]), marks) & ~copy[own]
                 size = (high - low + 1)[hit]
                 at = np.repeat(low[hit] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
                 whose = np.repeat(own[hit], size)
@@ -305,7 +312,7 @@ def _removed(docs: DataFrame, flags: DataFrame, window: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(count)), count)
                 at = np.flatnonzero(np.arange(n) + window <= block.first[1:][doc])
                 name, _ = _windows(block, window, at)
-                at = at[np.isin(_mark(name, own_id[doc[at]]), marks)]
+                at = at[_among(_mark(name, own_id[doc[at]]), marks)]
                 edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
                 gone = np.cumsum(edge[:n]) > 0
                 out += [(i, *x) for i, x in zip(own_id.tolist(), _kept(block, gone), strict=True)]
