@@ -111,7 +111,8 @@ def _person(text: Column, gender: Column, seed: Column) -> Column:
         syllables = F.array(*map(F.lit, _SYLLABLES[script].split()))
         pick = lambda a, n: F.element_at(a, (n % F.size(a) + 1).cast("int"))
         end = F.when(gender == "f", "ова").otherwise("ов") if script == "cyrillic" else F.lit("")
-        surname = F.concat(*(pick(syllables, _draw(seed, k)) for k in (1, 2, 3)), end)
+        # a syllable more with every attempt: there are names for any number of entities
+        surname = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.col("attempt") + 3), lambda k: pick(syllables, _draw(seed, k + F.when(k > 3, 100).otherwise(0)))), ""), end)
         first = F.transform(F.sequence(F.lit(1), F.greatest(words - 1, F.lit(1))), lambda i: pick(given, _draw(seed, i + 10)))
         return F.when(words == 1, surname).otherwise(F.concat_ws(" ", F.array_join(first, " "), surname))
 

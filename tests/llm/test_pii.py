@@ -54,6 +54,14 @@ def test_collisions_are_drawn_again(spark):
     assert run(spark, texts[:3], key="other") != run(spark, texts[:3])
 
 
+def test_more_names_than_short_surnames(spark):
+    """Entities beyond the 20 ** 3 surnames of three syllables get longer ones."""
+    letters = "abcdefghij"
+    people = [f"Mr. Q{letters[k // 1000 % 10]}{letters[k // 100 % 10]}{letters[k // 10 % 10]}{letters[k % 10]}" for k in range(9000)]
+    out = run(spark, people)
+    assert len(set(out)) == len(people) and not set(out) & set(people)
+
+
 def test_rest_is_untouched(spark, sf):
     docs = table(spark, sf, "documents")
     both = replace_pii(docs).withColumnRenamed("text", "new")
