@@ -45,7 +45,7 @@ PATTERNS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What every mention holds; a cheap test before the whole pattern runs.
-_HINT = rf"[0-9@]|(?:{_TITLE}) \p{{Lu}}"
+_HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|(?:{_TITLE}) \p{{Lu}}"
 
 #: Given names by script and gender, and syllables of surnames.
 _GIVEN = {

@@ -62,6 +62,13 @@ def test_more_names_than_short_surnames(spark):
     assert len(set(out)) == len(people) and not set(out) & set(people)
 
 
+def test_tokens_without_digits(spark):
+    """A key that is the only mention of its text and holds no digit is replaced."""
+    keys = ["AKIA" + "ABCDEFGHIJKLMNOP", *(f"gh{c}_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ" for c in "pousr"), "sk-abcdefghijklmnopqrstuvwx"]
+    for key, new in zip(keys, run(spark, [f"key {k} here" for k in keys]), strict=True):
+        assert key not in new and re.fullmatch(rf"key {key[:3]}\S{{{len(key) - 3}}} here", new)
+
+
 def test_rest_is_untouched(spark, sf):
     docs = table(spark, sf, "documents")
     both = replace_pii(docs).withColumnRenamed("text", "new")
