@@ -2,7 +2,9 @@
 
 A small tokenizer and tree builder (void elements, raw-text elements, implied end tags, inline elements
 left open by a closing block) gives the DOM.  Menus, page headers and footers, sidebars, notices,
-adverts, forms, reader comments and other known boilerplate subtrees are cut first.  For every remaining
+adverts, forms, reader comments and other known boilerplate subtrees are cut first; but what a wrapping
+element, a class, an id or a role only suggests is kept where, by the densities of the page with all such
+subtrees, it holds the core or most of the unlinked text and no article stands beside it.  For every remaining
 node the composite density is its characters per tag, adjusted by how many of the characters and tags
 belong to links (Sun, Song, Liao: DOM Based Content Extraction via Text Density, 2011); a node's density
 sum adds its children's densities.  The subtree with the largest sum is the core; the smallest density on
@@ -39,6 +41,10 @@ _ENDS = {
 }
 _SCOPES = frozenset("ul ol dl table html body article section main div td th menu select nav aside".split())
 _DROP = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input dialog menu search title noembed noframes xmp".split())
+#: Of _DROP what can wrap a whole page or article.
+_WRAPS = frozenset("form aside footer dialog search".split())
+#: Readers' comments can be longer than the article: cut whatever they hold.
+_COMMENTS = re.compile(r"(?:^|\s)(?:comments?|comment-?list|comments?-(?:area|section|thread|body|content)|disqus\w*|respond|replies)(?:$|\s)", re.I)
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe\w*|subscription|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|comment\w*|disqus|respond|replies|login|search\w*|pagination|pager|widget\w*|toolbar|masthead|copyright|legal|skip|toc)(?:$|[\s_-])",
     re.I,
@@ -53,12 +59,22 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("at", "chars", "density", "items", "link_chars", "link_tags", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.at: int | None = None  # place of the start tag of a doubtful boilerplate subtree
+
+
+def _certain(tag: str, attributes: str) -> bool:
+    """Whether a boilerplate subtree is one whatever it holds: controls, menus, hidden parts, readers' comments."""
+    if tag in _DROP and tag not in _WRAPS:
+        return True
+    values = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
+    hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I)
+    return bool(hidden) or tag == "article" or any(_COMMENTS.search(values.get(k, "")) for k in ("class", "id"))
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -78,8 +94,11 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     return values.get("role", "").lower() in _BAD_ROLE or bool(_BAD_NAME.search(name)) or (not inside and bool(_HEADER_NAME.search(name)))
 
 
-def parse(page: str) -> Node:
-    """The tree of a page without boilerplate; items of a node are nodes and decoded texts."""
+def parse(page: str, spared: frozenset[int] | None = frozenset()) -> Node:
+    """The tree of a page without boilerplate; items of a node are nodes and decoded texts.
+
+    spared: places of the start tags of boilerplate that stays; None keeps and marks all that is doubtful.
+    """
     root = Node("html", None)
     at, here, n = 0, root, len(page)
     stack = [root]
@@ -158,12 +177,14 @@ def parse(page: str) -> Node:
             if tag in ("br", "hr"):
                 here.items.append(" " if tag == "br" else Node("hr", here))
             continue
-        if _boilerplate(tag, attributes, bool(inside)):
+        doubtful = _boilerplate(tag, attributes, bool(inside))
+        if doubtful and (_certain(tag, attributes) if spared is None else m.start() not in spared):
             if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
                 continue
             gone = [tag]
             continue
         node = Node(tag, here)
+        node.at = m.start() if doubtful else None
         here.items.append(node)
         stack.append(node)
         here = node
@@ -248,6 +269,35 @@ def content(root: Node) -> list[Node]:
     return kept
 
 
+def _spared(page: str) -> frozenset[int]:
+    """Places of the boilerplate subtrees that hold the core of the whole page, or most of its unlinked text."""
+    nodes = measure(parse(page, None))
+    doubtful = [x for x in nodes if x.at is not None]
+    if not doubtful:
+        return frozenset()
+    body = next((x for x in nodes if x.tag == "body"), nodes[0])
+    core = _best(_order(body))
+    if core is None:
+        return frozenset()
+
+    def up(node: Node | None) -> set[int]:
+        out = set()
+        while node is not None:
+            out.add(id(node))
+            node = node.parent
+        return out
+
+    clear, above, marked = [], up(core), {id(x) for x in doubtful}
+    for x in nodes:  # articles beside the doubtful subtrees
+        if x.tag in ("article", "main") and x.chars > x.link_chars and not up(x) & marked:
+            clear.append(id(x))
+    out = set()
+    for x in doubtful:
+        if (id(x) in above or 2 * (x.chars - x.link_chars) > body.chars - body.link_chars) and set(clear) <= up(x):
+            out.add(x.at)
+    return frozenset(out)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -259,7 +309,7 @@ def main_text(page: str | None) -> str:
             out.append(block)
         run.clear()
 
-    for top in content(parse(page)):
+    for top in content(parse(page, _spared(page))):
         end()
         todo: list[object] = [top]
         while todo:

@@ -41,6 +41,19 @@ def test_density_without_article():
     assert main_text(page) == "\n".join(["Head", *[" ".join(["some words of a story"] * 10)] * 5])
 
 
+def test_wrappers_of_the_article_stay():
+    """A form or a class name around the whole article does not cut it; boilerplate in and beside it goes."""
+    line = " ".join(["some words of a story"] * 10)
+    story = "".join(f"<p>{line}</p>" for _ in range(5))
+    side = '<div class="sidebar"><ul><li>side</ul></div>'
+    want = "\n".join([line] * 5)
+    for name in ("content has-sidebar", "no-sidebar", "toc-enabled", "search-results"):
+        assert main_text(f'<body><nav><a href=x>Home</a></nav><div class="{name}">{story}{side}</div><footer>foot</footer></body>') == want
+    assert main_text(f'<body><form action=x><div class="has-sidebar"><div id=b>{story}</div>{side}</div><input></form></body>') == want
+    assert main_text(f'<body><div>{story}</div><div id="comments">{story * 4}</div></body>') == want
+    assert main_text(f'<body><article>{story}</article><div class="related">{story * 4}</div></body>') == want
+
+
 def test_odd_pages(spark):
     for page in (None, "", "   ", "<", "<p", "<!--", "<script>x", "<div></div>", "</p></div>", "<p class='a>b", "&#xZZ; &", "<nav>only menu</nav>"):
         assert isinstance(main_text(page), str)
