@@ -6,6 +6,7 @@ words can be found on encoded bytes and no character is ever cut.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -23,8 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 18
 
 U64 = np.uint64
-_MUL = U64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D | 1
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -35,33 +34,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n-1) modulo 2 ** 64, by doubling."""
-    out = np.empty(n, U64)
-    out[0] = 1
-    k = 1
-    while k < n:
-        m = min(k, n - k)
-        out[k : k + m] = out[:m] * U64(pow(base, k, 1 << 64))
-        k += m
-    return out
-
-
-class _Tables:
-    """Power tables of the rolling hash, made once in each worker and grown when a text needs more."""
-
-    def __init__(self) -> None:
-        self.n = 0
-
-    def ready(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, STEP_BYTES + 4096)
-            self.up = _powers(_BASE, self.n)
-            self.down = _powers(pow(_BASE, -1, 1 << 64), self.n)
-            self.byte = mix(np.arange(256, dtype=U64), 77) | U64(1)
-
+#: The low 0 to 8 bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a span from which a cryptographic hash names it.
+LONG_SPAN = 1024
 
-_T = _Tables()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,13 +54,29 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of one buffer, equal for equal bytes wherever they stand."""
-    _T.ready(len(data) + 1)
-    acc = np.empty(len(data) + 1, U64)
-    acc[0] = 0
-    np.cumsum(_T.byte[data] * _T.up[: len(data)], out=acc[1:])
-    return mix((acc[end] - acc[start]) * _T.down[start] + (end - start).astype(U64) * _MUL)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit names of the spans of one buffer, equal for equal bytes wherever they stand.
+
+    A chain of bijections over 8 bytes at a time, begun with the length: spans of up to 8 bytes never share a
+    name, longer ones only by the chance of 64 random bits; keyed BLAKE2b for spans of LONG_SPAN bytes and more.
+    Two lanes give names that are independent of each other, together 128 bits.
+    """
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.data, 0, (1,))  # the 8 bytes from each place
+    name = mix(size.astype(U64), 2 * lane + 101)
+    name = mix(name ^ (eight[start] & _LOW[np.minimum(size, 8)]), lane)
+    if len(size) and size.max() > 8:
+        rest, k = np.flatnonzero((size > 8) & (size < LONG_SPAN)), 8
+        while len(rest):
+            name[rest] = mix(name[rest] ^ (eight[start[rest] + k] & _LOW[np.minimum(size[rest] - k, 8)]), lane + 2 * k)
+            k += 8
+            rest = rest[size[rest] > k]
+        for i in np.flatnonzero(size >= LONG_SPAN).tolist():
+            whole = hashlib.blake2b(data[int(start[i]) : int(end[i])].tobytes(), digest_size=8, key=b"lane %d" % lane)
+            name[i] = int.from_bytes(whole.digest(), "little")
+    return name
 
 
 def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -102,15 +95,29 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def words_of(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word of a buffer of UTF-8 bytes."""
-    starts, ends, hashes = [], [], []
+    """(start, end, name) of every word of a buffer of UTF-8 bytes."""
+    starts, ends, names = [], [], []
     for a, b in _pieces(data):
         part = data[a:b]
         s, e = word_spans(part)
-        hashes.append(span_hashes(_LOWER[part] if lower else part, s, e))
+        names.append(span_hashes(_LOWER[part] if lower else part, s, e))
         starts.append(s + a)
         ends.append(e + a)
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(names)
+
+
+def gram_names(names: np.ndarray, sizes: list[int], lane: int = 0) -> dict[int, np.ndarray]:
+    """Names of all runs of so many consecutive names, one for each start: grams double, and two that overlap make the rest."""
+    out, power = {}, [names]
+    for k in range((max(sizes)).bit_length() - 1):
+        w = 1 << k
+        last = power[-1]
+        power.append(mix(mix(last[: max(0, len(last) - w)], 7 + lane) + last[w:], 300 + k + lane))
+    for n in sizes:
+        whole = power[n.bit_length() - 1]
+        at = n - (1 << n.bit_length() - 1)
+        out[n] = mix(mix(whole[: max(0, len(whole) - at)], 9 + lane) + whole[at:], 400 + n + lane)
+    return out
 
 
 class Block:
@@ -120,10 +127,10 @@ class Block:
     document's first word, with the number of words at the end.
     """
 
-    __slots__ = ("begin", "data", "end", "first", "name", "rows", "start", "stop")
+    __slots__ = ("begin", "data", "end", "first", "lower", "name", "rows", "start", "stop")
 
     def __init__(self, rows: np.ndarray, texts: list[memoryview], lower: bool) -> None:
-        self.rows = rows
+        self.rows, self.lower = rows, lower
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.end = np.cumsum(sizes + 1) - 1
         self.begin = self.end - sizes
@@ -131,6 +138,10 @@ class Block:
         self.start, self.stop, self.name = words_of(self.data, lower)
         self.first = np.append(np.searchsorted(self.start, self.begin), len(self.start))
 
+    def other_names(self) -> np.ndarray:
+        """The words' names in the second lane."""
+        return span_hashes(_LOWER[self.data] if self.lower else self.data, self.start, self.stop, 1)
+
 
 def text_views(column: pa.Array) -> list[memoryview]:
     """UTF-8 bytes of each row of a string column, without copies; null is empty."""
@@ -169,13 +180,17 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests, the bench) takes a temporary folder and a cluster its warehouse.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = current.get() if current.isDefined() else None
     if not where:
-        where = os.path.join(tempfile.gettempdir(), "sparkloupe-checkpoint")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        where = os.path.join(tempfile.gettempdir(), "sparkloupe-checkpoint") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sparkloupe-checkpoint"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -186,7 +201,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._sparkloupe_path = path
+    _PATHS.append(path)
+    return back
+
+
+#: Folders that stored() wrote and nothing has deleted yet.
+_PATHS: list[str] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for df in tables:
+        if (path := getattr(df, "_sparkloupe_path", None)) in _PATHS:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all stored tables; for a caller that has written or read its results."""
+    for path in [*_PATHS]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _PATHS.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows that one step of tree_sum adds up; three steps cover 256 ** 3 tasks.
@@ -198,24 +239,27 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
-def tree_sum(parts: DataFrame, dtype: type, finish: Callable[[np.ndarray], np.ndarray] = lambda total: total) -> DataFrame:
+def tree_sum(parts: DataFrame, dtype: type, finish: Callable[[np.ndarray], np.ndarray] = lambda total: total, sent: type | None = None) -> DataFrame:
     """(k, m) of rows (k, task, m): the arrays m of each k added up, at most about FAN_IN of them in one group.
 
     finish is applied to each sum in the last step, so that no second Python worker is needed for it.
+    sent: the type of the arrays in parts, where it is not dtype.
     """
-    kind = np.dtype(dtype)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(frame["m"].iloc[0], kind).copy()
-        for m in frame["m"].iloc[1:]:
-            total += np.frombuffer(m, kind)
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "task": [frame["task"].iloc[0]], "m": [total.tobytes()]})
+    def adder(kind: np.dtype):
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(frame["m"].iloc[0], kind).astype(dtype)
+            for m in frame["m"].iloc[1:]:
+                total += np.frombuffer(m, kind)
+            return pd.DataFrame({"k": [frame["k"].iloc[0]], "task": [frame["task"].iloc[0]], "m": [total.tobytes()]})
+
+        return add
 
-    for _ in range(2):
-        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("k", "task").applyInPandas(add, "k int, task int, m binary")
+    for kind in (np.dtype(sent or dtype), np.dtype(dtype)):
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("k", "task").applyInPandas(adder(kind), "k int, task int, m binary")
 
     def last(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(add(frame)["m"].iloc[0], kind)
+        total = np.frombuffer(adder(np.dtype(dtype))(frame)["m"].iloc[0], dtype)
         return pd.DataFrame({"k": [frame["k"].iloc[0]], "m": [finish(total).tobytes()]})
 
     return parts.groupBy("k").applyInPandas(last, "k int, m binary")
@@ -230,9 +274,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 GROUP_BYTES = 16 << 20
 
 
-def n_groups(df: DataFrame) -> int:
+def n_groups(df: DataFrame, text_col: str = "text") -> int:
     """Groups that keep a share of the input small enough for a Python worker: the session's shuffle
-    partitions, or more where the input's size by Spark's statistics asks for it."""
+    partitions, or more where the input's size asks for it, by Spark's statistics or else by a sum over the texts."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    known = size if size < 1 << 60 else 0  # without statistics Spark assumes the largest number
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-known // GROUP_BYTES))
+    if size >= 1 << 60:  # without statistics Spark assumes the largest number
+        size = (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // 2
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // GROUP_BYTES))

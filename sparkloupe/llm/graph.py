@@ -2,6 +2,8 @@
 
 Every step is a window minimum and a filter, so a vertex with very many neighbours is never collected;
 the edges are written to the shared folder after each round, and only two aggregates reach the driver.
+
+Cases: self links and repeated links do not matter; rows with a null end are dropped; no links, no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import stored
+from sparkloupe.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,12 +28,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, label) of every vertex that has an edge; label is the smallest id it reaches."""
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)  # null ends go here
     mark = None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
             break
         mark = new
-        now = stored(_star(_star(now, True), False), name)
+        last, now = now, stored(_star(_star(now, True), False), name)
+        discard(last)
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).union(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())

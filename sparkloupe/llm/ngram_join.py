@@ -15,7 +15,9 @@ clusters that hold several linked components, are compared further, inside kerne
 that return a spanning forest of what they find and never the pairs.  No link between different sets is lost: a pair with l common prefix tokens has
 all of them in small groups, and is counted there, or one in a large group, and is compared there.
 
-Sets are compared by 64-bit shingle names; classes by 128-bit digests of whole sets.
+Hot keys: texts with an empty set are set aside; classes, and the tokens that the sketch knows to be in very
+many documents, are counted in SALTS parts and joined part by part.  Candidates come from 64-bit shingle
+names; a link is decided by 128-bit ones (two lanes of word names), a class by a 128-bit digest of the set.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; a text with fewer words than
 a shingle has one shingle; ties and repeated rows share a class; an empty table gives an empty result;
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import U64, Block, blocks, mix, stored, table, task_number, tree_sum
+from sparkloupe.llm.common import U64, Block, blocks, discard, mix, stored, table, task_number, tree_sum
 from sparkloupe.llm.graph import components
 
 SKETCH_BITS = 23
@@ -42,6 +44,11 @@ SKETCH_BITS = 23
 SMALL = 16
 #: Members of one side of a kernel over a large group.
 KERNEL = 512
+#: Parts in which the members of a class and of a hot token are counted.
+SALTS = 64
+#: Documents of a sketch cell from which its tokens are counted in parts.
+HOT = 512
+_HOT_BIT = 0x80
 
 
 @dataclass(frozen=True)
@@ -66,22 +73,31 @@ class JaccardJoin:
 PRODUCTION = JaccardJoin()
 
 
-def shingles(names: np.ndarray, words: int) -> np.ndarray:
-    """Sorted distinct shingle names of one document's word names."""
+def shingles(names: np.ndarray, words: int, lane: int = 0) -> np.ndarray:
+    """Shingle names at every word of one document's word names."""
     n = len(names)
     if not n:
         return names
     k = min(words, n)
     out = np.full(n - k + 1, k, U64)
     for j in range(k):
-        out = mix(out + names[j : n - k + 1 + j], j)
-    return np.unique(out)
+        out = mix(out + names[j : n - k + 1 + j], j + 50 * lane)
+    return out
 
 
 def _sets(block: Block, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The sorted distinct shingle names of each document."""
     first = block.first.tolist()
     for i, row in enumerate(block.rows.tolist()):
-        yield row, shingles(block.name[first[i] : first[i + 1]], words)
+        yield row, np.unique(shingles(block.name[first[i] : first[i + 1]], words))
+
+
+def _wide_sets(block: Block, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The same names, followed by those of the second lane in the same order."""
+    first, other = block.first.tolist(), block.other_names()
+    for i, row in enumerate(block.rows.tolist()):
+        own, at = np.unique(shingles(block.name[first[i] : first[i + 1]], words), return_index=True)
+        yield row, np.concatenate([own, shingles(other[first[i] : first[i + 1]], words, 1)[at]])
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -104,13 +120,14 @@ def frequency_classes(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
                 if found:
                     cell, n = np.unique(_cell(np.concatenate(found)), return_counts=True)
                     count[cell] += n.astype(np.int32)
-        cells = np.minimum(count, 255).astype(np.uint32).reshape(-1, part)
+        cells = np.minimum(count, 255).astype(np.uint8).reshape(-1, part)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array([task_number()] * len(cells), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())], names=["k", "task", "m"])
 
     def classed(count: np.ndarray) -> np.ndarray:
-        return np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8)
+        return np.log2(np.maximum(1, count / max(1.0, count.mean()))).astype(np.uint8) | np.where(count >= hot, _HOT_BIT, 0).astype(np.uint8)
 
-    rows = tree_sum(docs.select("text").mapInArrow(run, "k int, task int, m binary"), np.uint32, classed).collect()
+    hot = HOT
+    rows = tree_sum(docs.select("text").mapInArrow(run, "k int, task int, m binary"), np.uint32, classed, np.uint8).collect()
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for k, c in rows:
         classes[k * part : (k + 1) * part] = np.frombuffer(c, np.uint8)
@@ -118,7 +135,8 @@ def frequency_classes(docs: DataFrame, rule: JaccardJoin) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataFrame:
-    """(doc_id, n, f0, f1, prefix, more): set size, digest, prefix under A, and 16-bit names of the prefixes under B and C."""
+    """(doc_id, n, f0, f1, prefix, hot, more): set size, digest, the prefix under A without and with hot tokens' own list,
+    and 16-bit names of the prefixes under B and C."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +145,7 @@ def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataF
             n = batch.num_rows
             size, digest = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
             head: list[np.ndarray] = [np.empty(0, np.int64)] * n
+            hot: list[np.ndarray] = [np.empty(0, np.int64)] * n
             more = [b""] * n
             for block in blocks(batch.column(1), lower=True):
                 for row, s in _sets(block, rule.words):
@@ -138,15 +157,18 @@ def signatures(docs: DataFrame, rule: JaccardJoin, classes: np.ndarray) -> DataF
                     # A: class first, then a permutation; both fit into one key
                     a = (rarity[_cell(s)].astype(U64) << U64(56)) | (mix(s, 11) >> U64(8))
                     q = min(len(s), p + rule.common(len(s)) - 1)
-                    head[row] = s[np.argpartition(a, q - 1)[:q]].view(np.int64)
+                    chosen = np.argpartition(a, q - 1)[:q]
+                    many = a[chosen] >> U64(63) == 1
+                    head[row], hot[row] = s[chosen[~many]].view(np.int64), s[chosen[many]].view(np.int64)
                     more[row] = b"".join((np.sort(np.partition(mix(s, k), p - 1)[:p]) >> U64(48)).astype(np.uint16).tobytes() for k in (21, 31))
-            at = np.append(0, np.cumsum([len(h) for h in head])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*head, np.empty(0, np.int64)]))), pa.array(more, pa.binary())],
-                names=["doc_id", "n", "f0", "f1", "prefix", "more"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(head), _lists(hot), pa.array(more, pa.binary())], names=["doc_id", "n", "f0", "f1", "prefix", "hot", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f0 long, f1 long, prefix array<long>, more binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f0 long, f1 long, prefix array<long>, hot array<long>, more binary")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
 
 def _orders(more: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +189,11 @@ def _may_link(x: bytes, y: bytes, n: int, m: int, rule: JaccardJoin) -> bool:
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    """Of two wide sets."""
+    n, m = len(x) // 2, len(y) // 2
+    at = np.minimum(np.searchsorted(y[:m], x[:n]), m - 1)
+    both = int(((y[at] == x[:n]) & (y[m + at] == x[n:])).sum())
+    return 100 * both >= percent * (n + m - both)
 
 
 #: Bits of the map by which wanted ids are recognised while scanning; past an eighth of it a join is used.
@@ -206,7 +231,7 @@ def _place(ids: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """(id, set) of the documents whose id is in wanted(id), and perhaps of some others."""
+    """(id, set) of the documents whose id is in wanted(id), and perhaps of some others; sets are wide."""
     bits = _id_map(wanted)
     docs = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     if bits is None:
@@ -220,7 +245,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardJoin) -> DataFrame:
                 batch = batch.filter(pa.array((sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
             out = [b""] * batch.num_rows
             for block in blocks(batch.column(1), lower=True):
-                for row, s in _sets(block, rule.words):
+                for row, s in _wide_sets(block, rule.words):
                     out[row] = s.tobytes()
             for a in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 500], pa.array(out[a : a + 500], pa.binary())], names=["id", "set"])
@@ -250,15 +275,32 @@ def _verify(near: DataFrame, docs: DataFrame, rule: JaccardJoin) -> DataFrame:
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     full = stored(sets_of(docs, wanted, rule), "ngram-sets")
     both = near.join(full.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(full.withColumnsRenamed({"id": "b", "set": "y"}), "b")
-    return both.where(linked("x", "y")).select("a", "b")
+    links = stored(both.where(linked("x", "y")).select("a", "b"), "ngram-links")
+    discard(full)
+    return links
 
 
 def _block_pairs(groups: DataFrame) -> DataFrame:
-    """Deals the members of each group to pairs of blocks of about KERNEL members: (token, i, j, side, ...)."""
-    blocks_ = F.greatest(F.lit(1), F.ceil(F.col("size") / KERNEL)).cast("int")
-    own = groups.withColumn("nb", blocks_).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb")).cast("int"))
-    other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return other.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "nb")
+    """Deals the members of each group to pairs of blocks of about KERNEL members: (token, i, j, own, ...).
+
+    Members of a group's largest component only meet the others, never one another.
+    """
+    sizes = groups.groupBy("token", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / KERNEL)).cast("int")
+    own = groups.join(main, "token").withColumns({"nm": parts(F.col("most")), "no": parts(F.col("all") - F.col("most")), "is_main": F.col("label") == F.col("main")})
+    place = F.xxhash64("id", F.lit(5))
+    own = own.withColumn("own", F.when(F.col("is_main"), F.pmod(place, F.col("nm"))).otherwise(F.col("nm") + F.pmod(place, F.col("no"))).cast("int"))
+    other = own.withColumn("o", F.explode(F.sequence(F.when(F.col("is_main"), F.col("nm")).otherwise(0), F.col("nm") + F.col("no") - 1)))
+    return other.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "nm", "no", "is_main", "main", "all", "most")
+
+
+def _numbered(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers for the 128-bit names of wide sets, equal for equal names."""
+    size = [len(x) // 2 for x in sets]
+    low = np.unique(np.concatenate([x[:n] for x, n in zip(sets, size, strict=True)]), return_inverse=True)[1]
+    high = np.unique(np.concatenate([x[n:] for x, n in zip(sets, size, strict=True)]), return_inverse=True)[1]
+    return np.split((low * (int(high.max(initial=0)) + 1) + high).astype(U64), np.cumsum(size)[:-1])
 
 
 def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> DataFrame:
@@ -280,7 +322,7 @@ def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> Dat
 
         found: list[tuple[int, int]] = []
         size = frame["n"].to_numpy()
-        halves = [[np.frombuffer(x, U64) for x in frame[column]]] if test == "sets" else [[b[k].astype(U64) for b in map(_orders, frame[column])] for k in (0, 1)]
+        halves = [_numbered([np.frombuffer(x, U64) for x in frame[column]])] if test == "sets" else [[b[k].astype(U64) for b in map(_orders, frame[column])] for k in (0, 1)]
         lists = []
         for rows in halves:
             length = np.array([len(r) for r in rows])
@@ -318,18 +360,32 @@ def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> Dat
     return groups.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _shared_tokens(sign: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, token, size, p) of the prefix tokens of several documents: how many they are, and the token's pivot."""
+    own = sign.select(F.col("doc_id").alias("id"), "prefix", "hot").join(copies.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    pivot = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("p"))
+    rare = own.select("id", F.explode("prefix").alias("token"))
+    group = Window.partitionBy("token")
+    rare = rare.select("id", "token", F.count("*").over(group).alias("size"), F.min(pivot).over(group).alias("pivot")).where("size > 1")
+    hot = own.select("id", F.explode("hot").alias("token")).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(SALTS)))
+    parts = hot.groupBy("token", "salt").agg(F.count("*").alias("size"), F.min(pivot).alias("pivot"))
+    whole = parts.groupBy("token").agg(F.sum("size").alias("size"), F.min("pivot").alias("pivot")).where("size > 1")
+    hot = hot.join(parts.select("token", "salt").join(whole, "token"), ["token", "salt"]).select("id", "token", "size", "pivot")
+    return rare.union(hot).select("id", "token", "size", F.col("pivot.p").alias("p"))
+
+
 def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    sign = stored(signatures(docs, rule, frequency_classes(docs, rule)), "ngram-signatures")
-    classes = sign.where("n > 0").groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
-    copies = sign.join(classes.where("c > 1").drop("c"), ["f0", "f1", "n"]).where("doc_id > id").select("doc_id")
-    tokens = sign.select("doc_id", "prefix").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
-    own = Window.partitionBy("token")
-    shared = tokens.select("id", "token", F.count("*").over(own).alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("p"))).over(own).alias("pivot"))
+    sign = stored(signatures(docs, rule, frequency_classes(docs, rule)).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SALTS))), "ngram-signatures")
+    # classes of equal sets, counted and joined in parts; id: the smallest of the class, c: its size
+    key = ["f0", "f1", "n"]
+    parts = sign.where("n > 0").groupBy(*key, "salt").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
+    whole = parts.groupBy(*key).agg(F.min("id").alias("id"), F.sum("c").alias("c"))
+    classes = stored(parts.select(*key, "salt").join(whole, key), "ngram-classes")
+    copies = sign.join(classes.where("c > 1").drop("c"), [*key, "salt"]).where("doc_id > id").select("doc_id")
     sizes = sign.select(F.col("doc_id").alias("id"), "n")
-    shared = shared.where("size > 1").select("token", "id", "size", F.col("pivot.p").alias("p")).join(sizes, "id")
-    shared = stored(shared, "ngram-shared")
+    shared = stored(_shared_tokens(sign.where("n > 0 AND doc_id IS NOT NULL"), copies).join(sizes, "id").select("token", "id", "size", "p", "n"), "ngram-shared")
     reps = sign.select(F.col("doc_id").alias("id"), "n", "more")
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     small = shared.where(F.col("size") <= SMALL)
@@ -339,7 +395,7 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
     pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("common")).where(F.col("common") >= need).select("a", "b")
     stars = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("p"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     near = stored(_plausible(pairs.union(stars).distinct(), reps, rule), "ngram-near")
-    links = stored(_verify(near, docs, rule), "ngram-links")
+    links = _verify(near, docs, rule)
     merged = components(links, "ngram-components")
     large = shared.where(F.col("size") > SMALL).select("token", "id", "size", "n")
     if not large.isEmpty():
@@ -353,12 +409,16 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
         # within a cluster, all members of large groups whose components still differ
         members = large.select("id", "n").distinct().join(clusters, "id").join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_ = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        members = stored(members.join(open_.select("token", "size"), "token"), "ngram-members")
+        members = stored(members.join(open_.select("token"), "token"), "ngram-members")
         found = _kernel(_block_pairs(members.join(sets_of(docs, members.select("id"), rule), "id")), "set", "sets", rule)
         merged = components(links.union(found), "ngram-components")
-    label = classes.drop("c").join(merged.withColumnRenamed("label", "c"), "id", "left").select("f0", "f1", "n", F.coalesce("c", "id").alias("c"))
-    out = sign.select("doc_id", "n", "f0", "f1").join(label, ["f0", "f1", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+        discard(across, members)
+    discard(shared, near, links)
+    label = classes.drop("c").join(merged.withColumnRenamed("label", "c"), "id", "left").select(*key, "salt", F.coalesce("c", "id").alias("c"))
+    own = sign.select("doc_id", "n", "f0", "f1", "salt")
+    out = own.where("n > 0").join(label, [*key, "salt"], "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("component_id"))
+    out = out.union(own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """Operator 3: substring deduplication by recompression.
 
-Rounds of recompression name the words of every document.  A round gives the inside of a run of equal
-symbols a run name, splits the alphabet in two by a hash bit, and replaces each adjacent (left, right)
-pair by one pair name.  Names are fixed functions of what they stand for, so they are global: equal
-passages get equal interior symbols in every document without any exchange.  After two rounds a symbol
-spans at most four words, and the symbol over the middle of a window of 13 words depends only on that
-window.  Each such symbol therefore has a core, the words common to all windows around it, and a window
-can only repeat where a core repeats.
-
-1. Cores that start in two documents are found by exchanging their names in packed arrays, dealt by name.
-2. Only around shared cores are the windows themselves named and exchanged, to find the smallest document
-   of each; shared symbols so reveal the repeats and whole windows (64 bits, and the bucket's) verify them.
+A round of recompression replaces every run of equal symbols by one run symbol and, with the alphabet split in
+two by a hash bit, every adjacent (left, right) pair by one pair symbol; rounds repeat until a document is one
+symbol.  A symbol's name is a function of what it was made from, in two lanes of 64 bits, so all documents name
+alike; the Spark rounds below gather the names of all documents in one dictionary, which tells for each symbol
+the smallest document that holds it.  Equal names mean equal words.
+
+1. Long repeats.  The symbols of at least a window's words, taken every EVERY rounds up to the whole document,
+   go to the dictionary.  Where one also stands in a smaller document, all its words are covered: they go, and
+   the windows inside it need no further look.  So exact copies and long passages, however many, are settled by
+   a few symbols, and only the first holder goes on.
+2. Windows.  The symbols of the first rounds span at most four words.  The one over the middle of a window
+   depends on that window alone (these rounds only rename the inside of a run, so that nothing beyond the window
+   counts), and so does its core, the words common to all windows around it.  A second part of the dictionary
+   holds the cores; where one stands in two documents, the windows around it that step 1 did not settle are
+   named, and a last Spark round finds the smallest document of each.
 3. Words covered by a window that starts in a document with a smaller id are removed.
 
-Every exchange carries packed arrays dealt by hash, equal names of a document once, so copies or very
-common passages make no group larger than its share of distinct documents.  Exact copies of an earlier
-document are found by digest and removed whole.
+Documents are dealt to groups of a bounded size; each group sends every different name once, with its smallest
+document, packed in arrays.  A name therefore has at most one entry of each group, however many copies there are.
 
 Cases: null and empty texts have no words; a text shorter than a window keeps all; repeated rows of one
 doc_id count as one document; a row without doc_id keeps all its words and removes none elsewhere; an
@@ -32,73 +35,125 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import STEP_BYTES, U64, Block, _powers, blocks, mix, n_groups, stored, table, text_views
+from sparkloupe.llm.common import STEP_BYTES, U64, Block, blocks, gram_names, mix, n_groups, stored, table, text_views
 
 WINDOW = 13
-#: Names gathered by a task before it deals them out.
+#: Rounds after which long symbols are first taken, and then every so many more.
+HIGH, EVERY = 8, 4
+#: Rounds after which a document that is not yet one symbol is left as it is.
+MOST = 64
+#: Names that a group holds before it reduces them.
 FLUSH = 1 << 20
 _RUN, _PAIR = 91, 92
-_B = 0xD1342543DE82EF95
-
-
-class _Powers:
-    n = 0
-    up: np.ndarray
-    down: np.ndarray
-
-    @classmethod
-    def ready(cls, n: int) -> None:
-        if n > cls.n:
-            cls.n = max(n, 1 << 18)
-            cls.up, cls.down = _powers(_B, cls.n), _powers(pow(_B, -1, 1 << 64), cls.n)
-
-
-def prefix_sums(names: np.ndarray) -> np.ndarray:
-    _Powers.ready(len(names) + 1)
-    return np.append(U64(0), np.cumsum(names * _Powers.up[: len(names)]))
+_CORE, _LONG, _WINDOW = 0, 1, 2
+
+
+class Symbols:
+    """The symbols of a block: names in two lanes, document, first word, number of words; fresh: not yet taken."""
+
+    def __init__(self, name: np.ndarray, other: np.ndarray, doc: np.ndarray) -> None:
+        self.name, self.other, self.doc = name, other, doc
+        self.start, self.size, self.fresh = np.arange(len(name)), np.ones(len(name), np.int64), np.ones(len(name), bool)
+
+    def _keep(self, keep: np.ndarray) -> None:
+        for k in ("name", "other", "doc", "start", "size", "fresh"):
+            setattr(self, k, getattr(self, k)[keep])
+
+    def _equal(self) -> np.ndarray:
+        return (self.doc[1:] == self.doc[:-1]) & (self.name[1:] == self.name[:-1]) & (self.other[1:] == self.other[:-1])
+
+    def runs(self) -> None:
+        """Every run of equal symbols becomes one symbol, named by symbol and length."""
+        at = np.flatnonzero(np.append(True, ~self._equal()))
+        length = np.diff(np.append(at, len(self.name)))
+        whole = np.add.reduceat(self.size, at)
+        self._keep(at)
+        many = length > 1
+        n = length[many].astype(U64)
+        self.name[many] = mix(mix(self.name[many], _RUN) + n, _RUN)
+        self.other[many] = mix(mix(self.other[many], _RUN + 1000) + n, _RUN + 1000)
+        self.size, self.fresh[many] = whole, True
+
+    def inner_runs(self) -> np.ndarray:
+        """The inside of a run gets the run's name, its ends stay: a symbol then tells nothing of what is further away."""
+        equal = self._equal()
+        inside = np.append(False, equal) & np.append(equal, False)
+        self.name, self.other = np.where(inside, mix(self.name, _RUN), self.name), np.where(inside, mix(self.other, _RUN + 1000), self.other)
+        return inside
+
+    def pairs(self, k: int, whole: np.ndarray | None = None) -> None:
+        """Every adjacent pair of a left and a right symbol becomes one; whole: symbols that stay."""
+        if len(self.name) < 2:
+            return
+        right = mix(self.name, k + 1) & U64(1) == 1
+        pair = np.append((self.doc[1:] == self.doc[:-1]) & ~right[:-1] & right[1:], False)
+        if whole is not None:
+            pair &= ~whole & ~np.append(whole[1:], False)
+        at = np.flatnonzero(pair)
+        self.name[at] = mix(mix(self.name[at], _PAIR) + self.name[at + 1], _PAIR)
+        self.other[at] = mix(mix(self.other[at], _PAIR + 1000) + self.other[at + 1], _PAIR + 1000)
+        self.size[at] += self.size[at + 1]
+        self.fresh[at] = True
+        keep = np.ones(len(self.name), bool)
+        keep[at + 1] = False
+        self._keep(keep)
 
 
-def passage(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Names of the passages of words [start, end)."""
-    return mix((sums[end] - sums[start]) * _Powers.down[start] + (end - start).astype(U64), 3)
+def _documents(block: Block) -> np.ndarray:
+    count = np.diff(block.first)
+    return np.repeat(np.arange(len(count)), count)
 
 
-def symbols(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each symbol after some rounds of recompression."""
-    start, size = np.arange(len(names)), np.ones(len(names), np.int64)
-    for k in range(rounds):
-        n = len(names)
-        if n < 2:
+def short_symbols(block: Block, window: int) -> Symbols:
+    """The symbols of the rounds whose names depend on no word outside a window around them."""
+    middle = (window - 1) // 2
+    found = Symbols(block.name.copy(), block.name, _documents(block))
+    for k in range(2 if middle >= 6 else 1 if middle >= 2 else 0):
+        if len(found.name) > 1:
+            found.pairs(k, found.inner_runs())
+    return found
+
+
+def long_symbols(block: Block, other: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(document, name, other name, first word, number of words) of the symbols of at least a window's words."""
+    now = Symbols(block.name.copy(), other.copy(), _documents(block))
+    size = np.diff(block.first)
+    if size.max(initial=0) < window:
+        return tuple(np.empty(0, t) for t in (np.int64, U64, U64, np.int64, np.int64))
+    now._keep((size >= window)[now.doc])
+    least = int((size >= window).sum())
+    out = []
+    for k in range(1, MOST + 1):
+        now.runs()
+        now.pairs(k)
+        done = len(now.name) <= least or k == MOST
+        if done or (k >= HIGH and (k - HIGH) % EVERY == 0):
+            take = now.fresh & (now.size >= window)
+            out.append(tuple(getattr(now, c)[take] for c in ("doc", "name", "other", "start", "size")))
+            now.fresh[:] = False
+        if done:
             break
-        same = doc[1:] == doc[:-1]
-        equal = same & (names[1:] == names[:-1])
-        inside = np.append(False, equal) & np.append(equal, False)
-        right = (mix(names, k + 1) & U64(1)).astype(bool)
-        pair = np.append(same & ~right[:-1] & right[1:] & ~inside[:-1] & ~inside[1:], False)
-        second = np.append(False, pair[:-1])
-        at = np.flatnonzero(pair)
-        names = np.where(inside, mix(names, _RUN), names)
-        names[at] = mix(names[at] * U64(_B) + names[at + 1], _PAIR)
-        size[at] += size[at + 1]
-        keep = ~second
-        names, doc, start, size = names[keep], doc[keep], start[keep], size[keep]
-    return start, size
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def cores(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each symbol with at least one window around it: document, name of its core, first and last window."""
+    """Of each short symbol with at least one window around it: document, name of its core, first and last window."""
     middle = (window - 1) // 2
-    count = np.diff(block.first)
-    doc = np.repeat(np.arange(len(count)), count)
-    start, size = symbols(block.name, doc, 2 if middle >= 6 else 1 if middle >= 2 else 0)
-    own = doc[start]
+    found = short_symbols(block, window)
+    own, start, size = found.doc, found.start, found.size
     a, b = start + size - 1 - middle, start - middle + window
     ok = (a >= block.first[own]) & (b <= block.first[own + 1])
     low = np.maximum(start - middle, block.first[own])
     high = np.minimum(a, block.first[own + 1] - window)
     ok &= low <= high  # a text a little shorter than a window can hold a core
-    a, b, own, low, high = a[ok], b[ok], own[ok], low[ok], high[ok]
-    return own, passage(prefix_sums(block.name), a, b), low, high
+    a, own, low, high, size = a[ok], own[ok], low[ok], high[ok], size[ok]
+    name = np.empty(len(a), U64)
+    if len(a):
+        sizes = np.unique(size).tolist()
+        grams = gram_names(block.name, [window + 1 - n for n in sizes])
+        for n in sizes:
+            name[size == n] = grams[window + 1 - n][a[size == n]]
+    return own, name, low, high
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -111,128 +166,154 @@ def _unplanes(data: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel() if data else np.empty(0, dtype)
 
 
-def deal(group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """Packed rows (group, keys, docs) of entries, each different entry once."""
-    if not len(group):
-        return
-    order = np.lexsort((doc, key, group))
-    group, key, doc = group[order], key[order], doc[order]
-    new = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
-    group, key, doc = group[new], key[new], doc[new]
-    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(group)], strict=True):
-        yield int(group[a]), _planes(key[a:b]), _planes(doc[a:b])
-
-
-def _batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["g", "keys", "docs"])
+def _reduced(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each different key once, sorted, with its smallest and its largest document."""
+    order = np.lexsort(keys[::-1])
+    keys, low, high = [k[order] for k in keys], low[order], high[order]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)) if len(low) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.minimum.reduceat(low, at) if len(at) else low, np.maximum.reduceat(high, at) if len(at) else high
 
 
-_M, _K = 2147483647, 1640531527
+class _Gathered:
+    """The different names of a group with their smallest and largest documents."""
 
+    def __init__(self, lanes: int) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.lanes = 0, lanes
 
-def _chunk(doc: np.ndarray, n: int) -> np.ndarray:
-    """The chunk of a document; chunk_column is the same rule as a Spark expression."""
-    return ((doc % _M) * _K >> 15) % n
+    def add(self, keys: list[np.ndarray], doc: np.ndarray) -> None:
+        self.held.append((*keys, doc, doc))
+        self.size += len(doc)
+        if self.size >= FLUSH:
+            self.held = [self.whole()]
+            self.size = len(self.held[0][0]) // 2
 
+    def whole(self) -> tuple[np.ndarray, ...]:
+        *keys, low, high = map(np.concatenate, zip(*self.held, strict=True)) if self.held else (*[np.empty(0, U64)] * self.lanes, np.empty(0, np.int64), np.empty(0, np.int64))
+        keys, low, high = _reduced(keys, low, high)
+        return (*keys, low, high)
 
-def chunk_column(n: int) -> Column:
-    return F.pmod(F.shiftright(F.pmod(F.col("doc_id"), F.lit(_M)) * F.lit(_K).cast("long"), 15), F.lit(n)).cast("int")
 
+#: Rows of the dictionary: bucket, part, the group that sends them, packed names in two lanes, smallest documents, and whether they have a second document.
+_ENTRY = pa.schema([("g", pa.int32()), ("part", pa.int32()), ("src", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("low", pa.binary()), ("many", pa.binary())])
+_ENTRY_SQL = "g int, part int, src int, a binary, b binary, low binary, many binary"
+_MARK_SQL = "g int, part int, a binary, b binary, low binary"
 
-def _entries(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and the 32 bits that stand for a core in it."""
-    return (key >> U64(64 - bits)).astype(np.int64), key.astype(np.uint32)
 
-
-def core_rows(docs: DataFrame, window: int, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1)):
-                own, key, _, _ = cores(block, window)
-                held.append((*_entries(key, bits), ids[block.rows][own]))
-                size += len(key)
-                if size >= FLUSH:
-                    yield _batch([*deal(*map(np.concatenate, zip(*held, strict=True)))])
-                    held, size = [], 0
-        if size:
-            yield _batch([*deal(*map(np.concatenate, zip(*held, strict=True)))])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "g int, keys binary, docs binary")
-
-
-def shared_entries(rows: DataFrame, n_chunks: int, later: bool, dtype: type) -> DataFrame:
-    """Entries whose key stands in two documents (later: only those of documents after the smallest), dealt by document."""
-
-    def run(part: pa.Table) -> pa.Table:
-        group = part.column("g")[0].as_py()
-        key = np.concatenate([_unplanes(x.as_py(), dtype) for x in part.column("keys")])
-        doc = np.concatenate([_unplanes(x.as_py(), np.int64) for x in part.column("docs")])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.append(True, key[1:] != key[:-1])
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        if later:
-            keep = doc > least
+def _entries(part: int, src: int, found: tuple[np.ndarray, ...], bits: int) -> list[tuple]:
+    """Entries of a group by bucket.  Of a core 32 bits beside the bucket's are sent; shared cores are only candidates."""
+    name, *other, low, high = found
+    bucket = (name >> U64(64 - bits)).astype(np.int64)
+    out = []
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    for i, j in zip(edge, [*edge[1:], len(bucket)], strict=True) if len(bucket) else ():
+        many = np.packbits(high[i:j] > low[i:j]).tobytes()
+        if part == _CORE:
+            out.append((int(bucket[i]), part, src, _planes(name[i:j].astype(np.uint32)), None, None, many))
         else:
-            at = np.flatnonzero(first)
-            many = np.maximum.reduceat(doc, at) > doc[at]
-            keep = np.repeat(many, np.diff(np.append(at, len(key))))
-        key, doc = key[keep].astype(U64), doc[keep]
-        if not later:
-            key |= U64(group) << U64(32)
-        return pa.Table.from_batches([_batch([*deal(_chunk(doc, n_chunks), key, doc)])])
-
-    return rows.groupBy("g").applyInArrow(run, "g int, keys binary, docs binary")
-
-
-def _marks(part: pa.Table) -> np.ndarray:
-    """One number for each (document, key) of the packed rows of a chunk, sorted."""
-    key = np.concatenate([np.empty(0, U64), *(_unplanes(x.as_py(), U64) for x in part.column("keys"))])
-    doc = np.concatenate([np.empty(0, np.int64), *(_unplanes(x.as_py(), np.int64) for x in part.column("docs"))])
-    return np.sort(_mark(key, doc))
+            out.append((int(bucket[i]), part, src, _planes(name[i:j]), _planes(other[0][i:j]), _planes(low[i:j]), many))
+    return out
 
 
-def _among(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which of x are among the sorted marks."""
-    if not len(marks):
-        return np.zeros(len(x), bool)
-    return marks[np.minimum(np.searchsorted(marks, x), len(marks) - 1)] == x
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def looked_up(entries: DataFrame) -> DataFrame:
+    """The dictionary's answer to each group: its shared cores, and its names that a smaller document holds, with that document."""
+    schema = pa.schema([f for f in _ENTRY if f.name in ("g", "part", "a", "b", "low")])
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, part = rows.column("g")[0].as_py(), rows.column("part")[0].as_py()
+        kind = np.uint32 if part == _CORE else U64
+        name = [_unplanes(x.as_py(), kind) for x in rows.column("a")]
+        size = [len(x) for x in name]
+        src = np.repeat(rows.column("src").to_numpy(), size)
+        name = np.concatenate(name)
+        many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(rows.column("many"), size, strict=True)]).astype(bool)
+        out = []
+        if part == _CORE:
+            order = np.argsort(name, kind="stable")
+            name, src, many = name[order], src[order], many[order]
+            first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            count = np.diff(np.append(first, len(name)))
+            shared = np.repeat((count > 1) | np.logical_or.reduceat(many, first), count)
+            name, src = name[shared].astype(U64) | U64(bucket) << U64(32), src[shared]
+            other = low = None
+        else:
+            other = np.concatenate([_unplanes(x.as_py(), U64) for x in rows.column("b")])
+            low = np.concatenate([_unplanes(x.as_py(), np.int64) for x in rows.column("low")])
+            order = np.lexsort((other, name))
+            name, other, low, src, many = (x[order] for x in (name, other, low, src, many))
+            first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (other[1:] != other[:-1])))
+            least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(name))))
+            asks = many | (least < low)
+            name, other, low, src = name[asks], other[asks], least[asks], src[asks]
+        order = np.argsort(src, kind="stable")
+        src = src[order]
+        edge = np.flatnonzero(np.append(True, src[1:] != src[:-1])) if len(src) else []
+        for i, j in zip(edge, [*edge[1:], len(src)], strict=True) if len(src) else ():
+            at = order[i:j]
+            out.append((int(src[i]), part, _planes(name[at]), None if other is None else _planes(other[at]), None if low is None else _planes(low[at])))
+        return _table(out, schema)
+
+    return entries.groupBy("g", "part").applyInArrow(run, _MARK_SQL)
+
+
+class _Marks:
+    """The dictionary's answers of one part, sorted by name."""
+
+    def __init__(self, rows: pa.Table, part: int) -> None:
+        rows = rows.filter(pa.compute.equal(rows.column("part"), part))
+        join = lambda c, t: np.concatenate([np.empty(0, t), *(_unplanes(x.as_py(), t) for x in rows.column(c) if x.is_valid)])
+        name = join("a", U64)
+        order = np.argsort(name, kind="stable")
+        self.name = name[order]
+        if part != _CORE:
+            self.other, self.low = join("b", U64)[order], join("low", np.int64)[order]
+
+    def _at(self, name: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
+
+    def has(self, name: np.ndarray) -> np.ndarray:
+        return self.name[self._at(name)] == name if len(self.name) else np.zeros(len(name), bool)
+
+    def earlier(self, name: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a smaller document than doc holds this name."""
+        if not len(self.name):
+            return np.zeros(len(name), bool)
+        at = self._at(name)
+        return (self.name[at] == name) & (self.other[at] == other) & (self.low[at] < doc)
 
 
-def _mark(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.view(U64), 6) + key, 4)
+_M, _K = 2147483647, 1640531527
 
 
-def _windows(block: Block, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of the windows at these words, and the numbers that choose their buckets."""
-    sums = prefix_sums(block.name)
-    return passage(sums, at, at + window), passage(prefix_sums(mix(block.name, 9)), at, at + window)
+def chunk_column(n: int) -> Column:
+    """The group of a document."""
+    return F.pmod(F.shiftright(F.pmod(F.col("doc_id"), F.lit(_M)) * F.lit(_K).cast("long"), 15), F.lit(n)).cast("int")
 
 
 def _sha(words: bytes) -> str:
     return hashlib.sha256(words).hexdigest()
 
 
-def _kept(block: Block, gone: np.ndarray | None) -> list[tuple[int, int, str]]:
-    """(n_words, n_removed, sha256 of the kept words) of each document of a block."""
-    out = []
+def _kept(block: Block, gone: np.ndarray | None, wanted: np.ndarray | None = None) -> list[tuple[int, int, str] | None]:
+    """(n_words, n_removed, sha256 of the kept words) of each document of a block, or of those wanted."""
+    out: list[tuple[int, int, str] | None] = []
     raw = block.data.tobytes()
     start, stop = block.start.tolist(), block.stop.tolist()
     for i in range(len(block.rows)):
+        if wanted is not None and not wanted[i]:
+            out.append(None)
+            continue
         a, b = int(block.first[i]), int(block.first[i + 1])
         left = range(a, b) if gone is None else (np.flatnonzero(~gone[a:b]) + a).tolist()
         out.append((b - a, b - a - len(left), _sha(b" ".join([raw[start[k] : stop[k]] for k in left]))))
     return out
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("size", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-_OUT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, packed binary, size long, g int, keys binary, docs binary"
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """Texts compressed for the exchange, with their sizes in bytes; null is empty."""
 
@@ -260,66 +341,103 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[Block]:
         at = end
 
 
-def _candidates(docs: DataFrame, flags: DataFrame, window: int, bits: int) -> DataFrame:
-    """A row for each document, final or with its text; and packed rows of the windows around shared cores."""
+def _texts(rows: pa.Table) -> Iterator[tuple[np.ndarray, Block, pa.RecordBatch]]:
+    """(ids of its documents, block, its batch) of packed texts (doc_id, packed, size, ...)."""
+    for batch in rows.to_batches():
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for block in _unpacked(batch.select(["doc_id", "packed", "size"])):
+            yield ids[block.rows], block, batch
+
+
+def first_entries(texts: DataFrame, window: int, bits: int) -> DataFrame:
+    """The long symbols and the cores of each group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        src = rows.column("g")[0].as_py()
+        long_, core = _Gathered(2), _Gathered(1)
+        for ids, block, _ in _texts(rows):
+            doc, name, other, _, _ = long_symbols(block, block.other_names(), window)
+            long_.add([name, other], ids[doc])
+            doc, name, _, _ = cores(block, window)
+            core.add([_short(name, bits)], ids[doc])
+        return _table([*_entries(_LONG, src, long_.whole(), bits), *_entries(_CORE, src, core.whole(), bits)], _ENTRY)
+
+    return texts.groupBy("g").applyInArrow(run, _ENTRY_SQL)
+
+
+def _short(name: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a core's name that are sent: those of its bucket, and the low 32."""
+    return (name >> U64(64 - bits)) << U64(64 - bits) | (name & U64(0xFFFFFFFF))
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("size", pa.int64()), ("gone", pa.binary()), *(f for f in _ENTRY)])
+_OUT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, packed binary, size long, gone binary, " + _ENTRY_SQL
+
+
+def _covered(n: int, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Which of n places lie in a span."""
+    return np.cumsum((np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1))[:n]) > 0
+
+
+def _candidates(texts: DataFrame, marks: DataFrame, window: int, bits: int) -> DataFrame:
+    """A row for each document, final or with its text and what long symbols removed; and entries of the windows around shared cores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks = _marks(right)
-        copies = set(pa.compute.drop_null(right.column("doc_id")).to_pylist())
-        done: list[tuple] = []
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in left.select(["doc_id", "packed", "size"]).to_batches():
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in _unpacked(batch):
-                own_id = ids[block.rows]
-                copy = np.fromiter((x in copies for x in own_id.tolist()), bool, len(own_id)) & (np.diff(block.first) >= window)
-                own, key, low, high = cores(block, window)
-                bucket, short = _entries(key, bits)
-                hit = _among(_mark(short.astype(U64) | (bucket.astype(U64) << U64(32)), own_id[own]), marks) & ~copy[own]
-                size = (high - low + 1)[hit]
-                at = np.repeat(low[hit] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
-                whose = np.repeat(own[hit], size)
-                open_ = np.zeros(len(own_id), bool)
-                open_[whose] = True
-                name, other = _windows(block, window, at)
-                held.append(((other >> U64(64 - bits)).astype(np.int64), name, own_id[whose]))
-                final = _kept(block, None)
-                for i, row in enumerate(block.rows.tolist()):
-                    n, _, sha = final[i]
-                    if copy[i]:
-                        done.append((own_id[i], n, n, _sha(b""), None, None))
-                    elif open_[i]:
-                        done.append((own_id[i], n, None, None, batch.column(1)[row].as_py(), batch.column(2)[row].as_py()))
-                    else:
-                        done.append((own_id[i], n, 0, sha, None, None))
-        packed = [*deal(*map(np.concatenate, zip(*held, strict=True)))] if held else []
-        nothing = [None] * len(done)
-        columns = [[*x, *[None] * len(packed)] for x in zip(*done, strict=True)] if done else [[None] * len(packed) for _ in range(6)]
-        columns += [[*nothing, *x] for x in zip(*packed, strict=True)] if packed else [nothing] * 3
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
-
-    return docs.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(run, _OUT_SQL)
-
-
-def _removed(docs: DataFrame, flags: DataFrame, window: int) -> DataFrame:
+        long_, core, windows = _Marks(right, _LONG), _Marks(right, _CORE), _Gathered(2)
+        rows: list[tuple] = []
+        nothing = (None,) * len(_ENTRY)
+        src = -1
+        for ids, block, batch in _texts(left):
+            src = batch.column("g")[0].as_py()
+            n, other = len(block.name), block.other_names()
+            doc, name, second, start, size = long_symbols(block, other, window)
+            again = long_.earlier(name, second, ids[doc])
+            start, size = start[again], size[again]
+            gone = _covered(n, start, size)
+            settled = _covered(n, start, size - window + 1)  # windows inside one removed symbol, by their first word
+            own, name, low, high = cores(block, window)
+            key = _short(name, bits)
+            hit = core.has((key >> U64(64 - bits)) << U64(32) | (key & U64(0xFFFFFFFF)))
+            size = (high - low + 1)[hit]
+            at = np.repeat(low[hit] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
+            whose = np.repeat(own[hit], size)
+            left_over = ~settled[at]
+            at, whose = at[left_over], whose[left_over]
+            open_ = np.zeros(len(ids), bool)
+            open_[whose] = True
+            if len(at):
+                windows.add([gram_names(block.name, [window])[window][at], gram_names(other, [window], 1)[window][at]], ids[whose])
+            kept = _kept(block, gone, ~open_)
+            for i, row in enumerate(block.rows.tolist()):
+                if open_[i]:
+                    own_gone = gone[block.first[i] : block.first[i + 1]]
+                    rows.append((int(ids[i]), None, None, None, batch.column("packed")[row].as_py(), batch.column("size")[row].as_py(), np.packbits(own_gone).tobytes() if own_gone.any() else None, *nothing))
+                else:
+                    rows.append((int(ids[i]), *kept[i], None, None, None, *nothing))
+        rows += [(None,) * 7 + r for r in _entries(_WINDOW, src, windows.whole(), bits)]
+        return _table(rows, _OUT)
+
+    return texts.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(run, _OUT_SQL)
+
+
+def _removed(texts: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, out = _marks(right), []
-        for batch in left.select(["doc_id", "packed", "size"]).to_batches():
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in _unpacked(batch):
-                own_id, n = ids[block.rows], len(block.name)
-                count = np.diff(block.first)
-                doc = np.repeat(np.arange(len(count)), count)
-                at = np.flatnonzero(np.arange(n) + window <= block.first[1:][doc])
-                name, _ = _windows(block, window, at)
-                at = at[_among(_mark(name, own_id[doc[at]]), marks)]
-                edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
-                gone = np.cumsum(edge[:n]) > 0
-                out += [(i, *x) for i, x in zip(own_id.tolist(), _kept(block, gone), strict=True)]
-        schema = pa.schema([*_OUT][:4])
-        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return docs.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        known, out = _Marks(right, _WINDOW), []
+        for ids, block, batch in _texts(left):
+            n, doc = len(block.name), _documents(block)
+            gone = np.zeros(n, bool)
+            for i, row in enumerate(block.rows.tolist()):
+                if (bits := batch.column("gone")[row]).is_valid:
+                    a, b = int(block.first[i]), int(block.first[i + 1])
+                    gone[a:b] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=b - a)
+            at = np.flatnonzero(np.arange(n) + window <= block.first[1:][doc])
+            if len(at):
+                name, other = gram_names(block.name, [window])[window][at], gram_names(block.other_names(), [window], 1)[window][at]
+                gone |= _covered(n, at[known.earlier(name, other, ids[doc[at]])], window)
+            out += [(i, *x) for i, x in zip(ids.tolist(), _kept(block, gone), strict=True)]
+        return _table(out, pa.schema([*_OUT][:4]))
+
+    return texts.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _untouched(docs: DataFrame) -> DataFrame:
@@ -337,15 +455,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     n = n_groups(docs)
     bits = max(1, (n - 1).bit_length())
-    # exact copies of an earlier document
-    digest = docs.where("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("m"))
-    twice = digest.groupBy("m").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = digest.join(twice, "m").where("doc_id > low").select("doc_id")
-    flags = shared_entries(core_rows(docs, window, bits), n, False, np.uint32).select("g", "keys", "docs", F.lit(None).cast("long").alias("doc_id"))
-    flags = flags.union(copies.select(chunk_column(n).alias('g'), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "doc_id"))
-    found = stored(_candidates(packed(docs).withColumn("g", chunk_column(n)), flags, window, bits), "substring-candidates")
-    marks = shared_entries(found.where("g is not null").select("g", "keys", "docs"), n, True, U64)
-    open_ = found.where("packed is not null").select("doc_id", "packed", "size").withColumn("g", chunk_column(n))
+    texts = packed(docs).withColumn("g", chunk_column(n)).repartition(n, "g")
+    marks = looked_up(first_entries(texts, window, bits))
+    found = stored(_candidates(texts, marks, window, bits), "substring-candidates")
+    marks = looked_up(found.where("g is not null").select(*(f.name for f in _ENTRY)))
+    open_ = found.where("packed is not null").select("doc_id", "packed", "size", "gone").withColumn("g", chunk_column(n))
     closed = found.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     return closed.union(_removed(open_, marks, window)).union(_untouched(nameless).select(F.lit(None).cast("long"), "n_words", "n_removed", "kept_sha256"))
 

@@ -67,3 +67,38 @@ def test_long_buffers_are_cut_at_words(monkeypatch):
     start, end, name = common.words_of(data)
     assert [data[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == text.split()
     assert name[-1] == common.words_of(np.frombuffer(b"end", np.uint8))[2][0]
+
+
+def test_names_are_sound():
+    """Long periodic words, words that differ late, and the two lanes."""
+    tm = "a"
+    for _ in range(13):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    words = [w[:n] for w in (tm, other) for n in (1, 7, 8, 9, 16, 17, 512, 1023, 1024, 4096, 8192)] + ["x" * n for n in (8, 9, 1023, 1024, 1025)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, end, name = common.words_of(data)
+    second = common.span_hashes(data, start, end, 1)
+    assert len(set(name.tolist())) == len(set(second.tolist())) == len(set(words)) and not set(name.tolist()) & set(second.tolist())
+
+
+def test_gram_names():
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 3, 400).astype(np.uint64)
+    for n, found in common.gram_names(names, [1, 2, 3, 5, 8, 10, 13]).items():
+        want = {}
+        for k in range(len(names) - n + 1):
+            want.setdefault(tuple(names[k : k + n].tolist()), set()).add(int(found[k]))
+        assert len(found) == len(names) - n + 1 and all(len(x) == 1 for x in want.values()) and len({min(x) for x in want.values()}) == len(want)
+
+
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    df = common.stored(spark.range(3).toDF("x"), "gone")
+    assert df.count() == 3 and os.path.isdir(df._sparkloupe_path)
+    common.discard(df)
+    assert not os.path.isdir(df._sparkloupe_path)
+    kept = common.stored(spark.range(3).toDF("x"), "gone")
+    common.release(spark)
+    assert not os.path.isdir(kept._sparkloupe_path)

@@ -71,3 +71,22 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, token string")
     assert got(jaccard_components(df)) == brute(rows)
     assert jaccard_components(df.limit(0), JaccardJoin()).collect() == []
+
+
+def test_words_that_defeat_polynomial_names(spark):
+    """Thue-Morse words and their complements are different words of equal length and letters."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert got(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_tokens_and_classes(spark, sf, hot, monkeypatch):
+    """Tokens counted in parts give the same links; a class of copies is joined part by part."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + k, "one two three four five six") for k in range(300)] + [(20_000 + k, "") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_components(df)) == brute(rows)

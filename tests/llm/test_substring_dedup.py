@@ -58,3 +58,41 @@ def test_odd_rows(spark):
     want[None] = (20, 0, hashlib.sha256(" ".join("q" * 20).encode()).hexdigest())
     assert got(sd.substring_dedup(df)) == want
     assert sd.substring_dedup(df.limit(0)).collect() == []
+
+
+def test_words_that_defeat_polynomial_names(spark):
+    """Thue-Morse words differ from their complements; Thue-Morse sequences of two words do as well."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    line = " ".join("q" * 12)
+    rows = [(1, f"{line} {word}"), (2, f"{line} {other}"), (3, " ".join(word[:1024])), (4, " ".join(other[:1024])), (5, " ".join(word[1:900]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(sd.substring_dedup(df)) == brute(rows) and got(sd.substring_dedup(df))[2][1] == 0
+
+
+def test_long_symbols_settle_copies_and_passages(spark):
+    """Copies share their last symbol; passages share long symbols; what is settled asks for no windows."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    whole, part = make(700), make(160)
+    rows = [(100 - k, whole) for k in range(40)] + [(200 + k, f"{make(30 + k)} {part} {make(50 - k)}") for k in range(40)] + [(400, make(500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(sd.substring_dedup(df)) == brute(rows)
+    block = next(sd.blocks(sd.pa.array([whole, whole])))
+    doc, name, other, start, size = sd.long_symbols(block, block.other_names(), 13)
+    assert {(int(a), int(n)) for a, n in zip(start, size, strict=True)} >= {(0, 700), (700, 700)}
+    assert set(name[doc == 0].tolist()) == set(name[doc == 1].tolist())
+
+
+def test_every_symbol_is_one_passage():
+    """Equal names, equal words, over texts of few words with many runs and periods."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("a", "a", "b", "c d")) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    block = next(sd.blocks(sd.pa.array(texts)))
+    words = block.data.tobytes().decode().split()
+    seen = {}
+    for _, n, o, a, size in zip(*sd.long_symbols(block, block.other_names(), 5), strict=True):
+        assert seen.setdefault((int(n), int(o)), words[a : a + size]) == words[a : a + size]
+    assert len(seen) > 100
