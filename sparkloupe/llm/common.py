@@ -270,6 +270,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores behind it as make it none of the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Stored bytes of input that one group of a packed exchange stands for at most.
 GROUP_BYTES = 16 << 20
 

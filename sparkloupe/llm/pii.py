@@ -1,31 +1,45 @@
 """Operator 5: personal data replaced by surrogates, with DataFrame functions only.
 
 One regular expression finds e-mail addresses, access tokens, IBANs, network addresses, identity numbers,
-telephone and card numbers and titled names.  A mention's canonical form (case and separators off) is the
-entity; all distinct entities of the table get surrogates from a keyed SHA-256: digits for digits and
-letters for letters of the same script, hexadecimal for hexadecimal, a private network address, a card
-number of the same Luhn validity, a name of the gender that any of its titles tells, in its script and
-number of words.  Surrogates of one type are then checked: where two entities share one, or a surrogate is
-itself an entity of the table, all but the first draw again until none does.  So equal entities stay equal
-wherever and however they are written (coreference) and different ones stay different.  A mention is
-written in its own format: its separators, and capitals where it is all capitals.
-
-Entities are found with partial aggregation and joined by value, so a very frequent one is no problem of
-its own (adaptive execution splits a skewed join); texts without a mention are only passed through.
-
-Cases: null, empty and mention-free texts come back unchanged; repeated rows and shared ids get equal
-results; columns of the input are kept, and those that clash with the working columns (their names begin
-with `_pii`) are not expected; an empty table gives an empty result.
+telephone and card numbers and titled names.  A mention's canonical form (case and separators off) is the entity.
+
+* Everything but names is permuted: a keyed Feistel network over the places of the canonical form, each place
+  within its own kind (digits, the letters of one script and case, hexadecimal letters, octets).  A permutation
+  gives different entities different surrogates whatever their number, without any table, and equal ones equal
+  surrogates wherever they stand.  Country code and length of a telephone number, country of an IBAN, prefix of a
+  token, first digit of a card and last label of a mail domain stay; check digits of cards and IBANs are right
+  where they were right (and wrong alike where they were wrong); mail addresses get the reserved end `.example`.
+* Names are replaced word by word, so `Mr Smith` and `Mr John Smith` keep one surname: given names from the list
+  of the gender that the title (or another title of that given name) tells, surnames of syllables, both in the
+  script of the word, with the ending of the gender where the script has one; words of other scripts are permuted.
+  Words that draw the same surrogate, or one that is itself a name of the table, draw again, a syllable longer
+  each time, until none does: names never run out, so this ends.
+
+A mention is written in its own format: its separators, its title, and capitals where it is all capitals.
+
+Only rows with a mention are stored and exchanged, and of these only the words of names meet the table of names;
+very frequent names are joined in parts.  The key is the caller's: who has it can tell which surrogate stands for
+which guess, so the registered query takes it from the session and otherwise draws one for the run.
+
+Cases: null, empty and mention-free texts come back unchanged; repeated rows and shared or null ids are rows like
+others; all columns of the input are kept, whatever their names (one named like the count column is replaced); a
+very long text is one row with as many mentions as it holds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import stored, table
+from sparkloupe.llm.common import discard, stored, table
 
-KEY = "sparkloupe-surrogates"
+KEY_SETTING = "spark.sparkloupe.surrogateKey"
+#: Parts in which the mentions of a name word are joined with its surrogate.
+SALTS = 16
+ROUNDS = 4
 
 _TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "г-жа", "Госпожа", "госпожа")
 _TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "г-н", "Господин", "господин")
@@ -41,7 +55,7 @@ PATTERNS = (
     ("identity", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![A-Za-z0-9+(])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|(?<![A-Za-z0-9(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME}){{0,2}}"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: (?!{_TITLE}(?: |$)){_NAME}){{0,2}}"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What every mention holds; a cheap test before the whole pattern runs.
@@ -53,33 +67,66 @@ _GIVEN = {
     "cyrillic": {"f": "Анна Вера Елена Ирина Мария Нина Ольга Софья", "m": "Антон Борис Виктор Иван Максим Олег Павел Юрий", "": "Саша Женя Валя Слава"},
 }
 _SYLLABLES = {"latin": "bar bel bor dal den dor fal fen gar hal ker lan mor nel par ros sel tar ven wil", "cyrillic": "бор вет гор дан зар кал лун мир нов пал рос сел тар фед хар яр"}
-_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
+#: First code point and number of the characters that stand for one another.
+_ALPHABETS = (
+    (0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 7), (0x388, 3), (0x391, 17), (0x3A3, 7), (0x3AC, 4), (0x3B1, 25), (0x3CA, 5), (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x561, 38), (0x5D0, 27), (0x628, 19), (0x641, 10),
+    (0x915, 37), (0xE01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172),
+)
+_HEXADECIMAL = ((0x30, 10), (0x41, 6), (0x61, 6))
+#: Telephone country codes of one and of two digits; all others have three.
+_COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
-def _draw(seed: Column, place: Column | int) -> Column:
-    """A number from the keyed hash."""
-    at = F.lit(place) if isinstance(place, int) else place
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", seed, at.cast("string")), 256), 1, 8), 16, 10).cast("long")
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key, or a new one."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
 
 
-def _one_of(text: str, number: Column) -> Column:
-    return F.substr(F.lit(text), (number % len(text) + 1).cast("int"), F.lit(1))
+def _draw(*parts: Column) -> Column:
+    """A number from the keyed hash of the parts."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 8), 16, 10).cast("long")
 
 
 def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _permuted(key: str, kind: str, values: Column, sizes: Column) -> Column:
+    """Numbers, each below its size, by a Feistel network of additions: a permutation of all such arrays."""
+    half = F.floor(F.size(values) / 2).cast("int")
+    left, right = lambda x: F.slice(x, F.lit(1), half), lambda x: F.slice(x, half + 1, F.size(x) - half)
+    start = F.struct(left(values).alias("l"), right(values).alias("r"), left(sizes).alias("m"), right(sizes).alias("n"))
+
+    def step(a: Column, k: Column) -> Column:
+        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), k.cast("string"), F.array_join(F.transform(a["r"], lambda x: x.cast("string")), ",")), 256)
+        new = F.transform(a["l"], lambda x, i: F.pmod(x + _draw(seed, i), F.element_at(a["m"], i + 1)))
+        return F.struct(a["r"].alias("l"), new.alias("r"), a["n"].alias("m"), a["m"].alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda a: F.concat(a["l"], a["r"]))
 
 
-def _shape(text: Column, seed: Column, letters: str = _LATIN) -> Column:
+def _shape(key: str, kind: str, text: Column, alphabets: tuple[tuple[int, int], ...] = _ALPHABETS) -> Column:
     """Digits for digits, letters for letters of the same script and case; the rest stays."""
 
-    def one(c: Column, i: Column) -> Column:
-        n = _draw(seed, i)
-        letter = F.when(F.rlike(c, F.lit(r"\p{IsCyrillic}")), _one_of(_CYRILLIC, n)).otherwise(_one_of(letters, n))
-        letter = F.when(F.lower(c) != c, F.upper(letter)).otherwise(letter)
-        return F.when(F.rlike(c, F.lit("[0-9]")), _one_of("0123456789", n)).when(F.rlike(c, F.lit(r"\p{L}")), letter).otherwise(c)
+    def place(c: Column) -> Column:
+        code = F.ascii(c)
+        first, size = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for a, n in alphabets:
+            inside = (code >= a) & (code < a + n)
+            first, size = F.coalesce(first, F.when(inside, F.lit(a))), F.coalesce(size, F.when(inside, F.lit(n)))
+        return F.struct(c.alias("c"), F.coalesce(first, code).cast("long").alias("first"), F.coalesce(size, F.lit(1)).cast("long").alias("size"), code.cast("long").alias("code"))
 
-    return F.array_join(F.transform(_chars(text), one), "")
+    def written(x: Column, new: Column) -> Column:
+        code = x["first"] + new
+        return F.when(x["size"] == 1, x["c"]).when(code < 128, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
+
+    places = F.transform(_chars(text), place)
+    return _bound(places, lambda p: F.array_join(F.zip_with(p, _permuted(key, kind, F.transform(p, lambda x: x["code"] - x["first"]), F.transform(p, lambda x: x["size"])), written), ""))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -92,47 +139,56 @@ def _check(digits: Column) -> Column:
     return (F.lit(10) - _luhn_sum(digits) % 10) % 10
 
 
-def _card(text: Column, seed: Column) -> Column:
-    body = F.expr("substr(canon, 1, length(canon) - 1)")
-    new = F.concat(F.substring(text, 1, 1), _shape(F.expr("substr(canon, 2, length(canon) - 2)"), seed))
-    valid = _check(body) == F.substring(text, -1, 1).cast("int")
-    off = F.when(valid, F.lit(0)).otherwise(1 + _draw(seed, 99) % 9)
-    return F.concat(new, ((_check(new) + off) % 10).cast("string"))
+def _card(key: str, text: Column) -> Column:
+    inner = _shape(key, "card", F.substr(text, F.lit(2), F.length(text) - 2))
+    off = F.pmod(F.substring(text, -1, 1).cast("int") - _check(F.substr(text, F.lit(1), F.length(text) - 1)), F.lit(10))
+    return _bound(F.concat(F.substring(text, 1, 1), inner), lambda new: F.concat(new, F.pmod(_check(new) + off, F.lit(10)).cast("string")))
 
 
-def _person(text: Column, gender: Column, seed: Column) -> Column:
-    """As many name words: given names of the gender, then a surname of syllables."""
-    words = F.size(F.split(text, " "))
+def _iban_digits(body: Column, country: Column) -> Column:
+    """The right check digits, as a number of 2 to 98."""
 
-    def names(script: str) -> Column:
-        given = F.lit(None).cast("array<string>")
-        for g in ("f", "m", ""):
-            given = F.coalesce(given, F.when(gender == g, F.array(*map(F.lit, _GIVEN[script][g].lower().split()))))
-        syllables = F.array(*map(F.lit, _SYLLABLES[script].split()))
-        pick = lambda a, n: F.element_at(a, (n % F.size(a) + 1).cast("int"))
-        end = F.when(gender == "f", "ова").otherwise("ов") if script == "cyrillic" else F.lit("")
-        # a syllable more with every attempt: there are names for any number of entities
-        surname = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.col("attempt") + 3), lambda k: pick(syllables, _draw(seed, k + F.when(k > 3, 100).otherwise(0)))), ""), end)
-        first = F.transform(F.sequence(F.lit(1), F.greatest(words - 1, F.lit(1))), lambda i: pick(given, _draw(seed, i + 10)))
-        return F.when(words == 1, surname).otherwise(F.concat_ws(" ", F.array_join(first, " "), surname))
-
-    return F.when(F.rlike(text, F.lit(r"\p{IsCyrillic}")), names("cyrillic")).otherwise(names("latin"))
-
-
-def _surrogate(key: str) -> Column:
-    """Of the columns type, canon, gender and attempt."""
-    kind, text = F.col("type"), F.col("canon")
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, text, F.col("attempt").cast("string")), 256)
-    at = F.instr(text, "@")
-    email = F.concat(_shape(F.substr(text, F.lit(1), at), seed), _shape(F.element_at(F.split(F.substr(text, at + 1), r"\."), 1), F.concat(seed, F.lit("d"))), F.lit(".example.org"))
-    hexadecimal = F.rlike(text, F.lit("^[A-Fa-f0-9]+$"))
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 58, (a * 10 + code - 48) % 97).otherwise((a * 100 + code - 55) % 97)
+
+    return F.lit(98) - F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0), step)
+
+
+def _iban(key: str, text: Column) -> Column:
+    country, digits, body = F.substring(text, 1, 2), F.substring(text, 3, 2).cast("int"), F.substr(text, F.lit(5))
+
+    def whole(new: Column) -> Column:
+        moved = F.pmod(digits - _iban_digits(body, country) + _iban_digits(new, country) - 2, F.lit(97)) + 2
+        check = F.when(digits.between(2, 98), moved).otherwise(digits)
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+    return _bound(_shape(key, "iban", body), whole)
+
+
+def _headed(key: str, kind: str, text: Column, head: Column, alphabets: tuple[tuple[int, int], ...] = _ALPHABETS) -> Column:
+    """The head stays, the rest is permuted for itself."""
+    return F.concat(head, _shape(key, kind, F.substr(text, F.length(head) + 1), alphabets))
+
+
+def _address(key: str, text: Column) -> Column:
+    octets = F.transform(F.split(text, r"\."), lambda x: x.cast("long"))
+    return F.array_join(F.transform(_permuted(key, "address", octets, F.transform(octets, lambda x: F.lit(256).cast("long"))), lambda x: x.cast("string")), ".")
+
+
+def _email(key: str, text: Column) -> Column:
+    end = F.regexp_extract(text, r"\.[^.]*$", 0)
+    return F.concat(_shape(key, "email", F.substr(text, F.lit(1), F.length(text) - F.length(end))), end, F.lit(".example"))
+
+
+def _surrogate(key: str, kind: Column, mention: Column, text: Column) -> Column:
+    """Of an entity that is no name."""
     known = F.regexp_extract(text, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
-    token = F.when(hexadecimal, _shape(text, seed, "abcdef")).otherwise(F.concat(known, _shape(F.substr(text, F.length(known) + 1), seed)))
-    address = F.concat(F.lit("10."), *(x for k in (1, 2, 3) for x in ((_draw(seed, k) % 254 + 1).cast("string"), F.lit("." if k < 3 else ""))))
-    head = lambda n: F.concat(F.substring(text, 1, n), _shape(F.substr(text, F.lit(n + 1)), seed))
+    token = F.when(F.rlike(text, F.lit("^[A-Fa-f0-9]+$")), _shape(key, "hexadecimal", text, _HEXADECIMAL)).otherwise(_headed(key, "token", text, known))
+    code = F.when(F.startswith(mention, F.lit("+")), F.regexp_extract(text, _COUNTRY_CODE, 0)).otherwise("")
     return (
-        F.when(kind == "email", email).when(kind == "token", token).when(kind == "iban", head(2)).when(kind == "address", address).when(kind == "identity", _shape(text, seed))
-        .when(kind == "phone", head(1)).when(kind == "card", _card(text, seed)).otherwise(_person(text, F.col("gender"), seed))
+        F.when(kind == "email", _email(key, text)).when(kind == "token", token).when(kind == "iban", _iban(key, text)).when(kind == "address", _address(key, text))
+        .when(kind == "identity", _shape(key, "identity", text)).when(kind == "phone", _headed(key, "phone", text, code)).when(kind == "card", _card(key, text))
     )
 
 
@@ -167,52 +223,103 @@ def _poured(mention: Column, text: Column) -> Column:
 
 
 def _written(kind: Column, mention: Column, text: Column) -> Column:
-    """The surrogate in the mention's own format."""
+    """The surrogate of an entity that is no name, in the mention's own format."""
     loud = (F.upper(mention) == mention) & (F.lower(mention) != mention)
-    title = F.regexp_extract(mention, rf"^{_TITLE} ", 0)
-    name = F.regexp_replace(mention, rf"^{_TITLE} ", "")
-    shout = (F.upper(name) == name) & (F.length(name) > 1)
-    new = F.concat(title, F.when(shout, F.upper(text)).otherwise(F.initcap(text)))
-    return F.when(kind == "email", F.when(loud, F.upper(text)).otherwise(text)).when(kind.isin("token", "address"), text).when(kind == "name", new).otherwise(_poured(mention, text))
-
-
-def surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """(mention, written) for a table (mention) of distinct mentions."""
-    seen = stored(mentions.withColumn("type", _kind(F.col("mention"))).withColumn("canon", _canon(F.col("type"), F.col("mention"))).withColumn("gender", _gender(F.col("mention"))), "pii-mentions")
-    entities = seen.groupBy("type", "canon").agg(F.max("gender").alias("gender")).withColumn("attempt", F.lit(0))
-    now = stored(entities.withColumn("new", _surrogate(key)), "pii-entities")
-    real = now.select("type", F.col("canon").alias("real"))
+    return F.when(kind == "email", F.when(loud, F.upper(text)).otherwise(text)).when(kind.isin("token", "address"), text).otherwise(_poured(mention, text))
+
+
+def _script(word: Column) -> Column:
+    return F.when(F.rlike(word, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(word, F.lit(r"[\p{L}&&[^\p{IsLatin}]]")), "other").otherwise("latin")
+
+
+def _new_word(key: str, least: int) -> Column:
+    """The surrogate of a name word (role, gender, script, word) at its attempt: a syllable more with every attempt."""
+    seed = F.sha2(F.concat_ws("|", F.lit(key), "role", "gender", "word", F.col("attempt").cast("string")), 256)
+    pick = lambda a, *at: F.element_at(a, (_draw(seed, *at) % F.size(a) + 1).cast("int"))
+
+    def of(script: str) -> Column:
+        syllables = F.array(*map(F.lit, _SYLLABLES[script].split()))
+        given = F.lit(None).cast("array<string>")
+        for g, names in _GIVEN[script].items():
+            given = F.coalesce(given, F.when(F.col("gender") == g, F.array(*map(F.lit, names.lower().split()))))
+        tail = lambda n: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: pick(syllables, k)), "")).otherwise("")
+        return F.when(F.col("role") == "given", F.concat(pick(given, F.lit("g")), tail(F.when(F.col("attempt") == 0, 0).otherwise(F.col("attempt") + least - 3)))).otherwise(tail(F.col("attempt") + least))
+
+    return F.when(F.col("script") == "cyrillic", of("cyrillic")).when(F.col("script") == "latin", of("latin")).otherwise(_shape(key, "name", F.col("word")))
+
+
+def name_words(words: DataFrame, key: str) -> DataFrame:
+    """(role, title_gender, word, new) for the distinct (role, title_gender, word) of a table of name words."""
+    seen = stored(words.select("role", "title_gender", "word").distinct(), "pii-words")
+    known = seen.where("role = 'given'").groupBy("word").agg(F.max("title_gender").alias("known"))
+    # a given name without a telling title takes the gender that another title gives it; surnames have none
+    gender = F.when(F.col("role") == "surname", "").when(F.col("title_gender") != "", F.col("title_gender")).otherwise(F.coalesce("known", F.lit("")))
+    seen_as = stored(seen.join(known, "word", "left").withColumn("gender", gender).drop("known"), "pii-words")
+    entities = seen_as.select("role", "gender", "word").distinct().withColumns({"script": _script(F.col("word")), "attempt": F.lit(0)})
+    # so many syllables that a clash is rare, and never fewer than three
+    least = max(3, math.ceil(math.log(8 * max(1, seen_as.count()), 16)))
+    now = stored(entities.withColumn("new", _new_word(key, least)), "pii-names")
+    real = stored(now.select("role", F.col("word").alias("new")).distinct(), "pii-real")
     while True:
-        # a surrogate belongs to its first entity, unless it is itself an entity
-        first = now.groupBy("type", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"))
-        clash = now.join(first, ["type", "new"]).where((F.col("first.canon") != F.col("canon"))).select("type", "canon")
-        own = now.join(real.withColumnRenamed("real", "new"), ["type", "new"], "left_semi").select("type", "canon")
+        # a surrogate belongs to its first word, unless it is itself a name of the table; permuted words never clash
+        drawn = now.where("script <> 'other'")
+        first = drawn.groupBy("role", "script", "new").agg(F.min(F.struct("attempt", "word", "gender")).alias("first"))
+        clash = drawn.join(first, ["role", "script", "new"]).where(F.col("first") != F.struct("attempt", "word", "gender")).select("role", "gender", "word")
+        own = drawn.join(real, ["role", "new"], "left_semi").select("role", "gender", "word")
         again = stored(clash.union(own).distinct(), "pii-clashes")
         if again.isEmpty():
             break
-        redo = now.join(again.withColumn("redo", F.lit(1)), ["type", "canon"], "left")
-        redo = redo.withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0)))
-        now = stored(redo.withColumn("new", F.when(F.col("redo") == 1, _surrogate(key)).otherwise(F.col("new"))).drop("redo"), "pii-entities")
-    return seen.join(now.select("type", "canon", "new"), ["type", "canon"]).select("mention", _written(F.col("type"), F.col("mention"), F.col("new")).alias("written"))
-
-
-def replace_pii(docs: DataFrame, key: str = KEY, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_pii") -> DataFrame:
+        redo = now.join(again.withColumn("redo", F.lit(1)), ["role", "gender", "word"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("redo", F.lit(0)))
+        last, now = now, stored(redo.withColumn("new", F.when(F.col("redo") == 1, _new_word(key, least)).otherwise(F.col("new"))).drop("redo"), "pii-names")
+        discard(last, again)
+    return seen_as.join(now.select("role", "gender", "word", "script", "new"), ["role", "gender", "word"]).select("role", "title_gender", "word", "script", "new")
+
+
+def _named(found: DataFrame, key: str) -> DataFrame:
+    """(rid, mention, written) of the names that a table (rid, found: array of (m, kind)) holds."""
+    each = found.select("rid", F.explode(F.array_distinct(F.filter("found", lambda x: x["kind"] == "name"))).alias("x")).select("rid", F.col("x.m").alias("mention"))
+    plain = F.regexp_replace("mention", rf"^{_TITLE} ", "")
+    each = each.withColumns({"title_gender": _gender(F.col("mention")), "words": F.split(F.lower(plain), " ")})
+    words = each.select("rid", "mention", "title_gender", F.size("words").alias("n"), F.posexplode("words").alias("k", "word"))
+    words = words.withColumns({"role": F.when(F.col("k") == F.col("n") - 1, "surname").otherwise("given"), "salt": F.pmod(F.xxhash64("rid"), F.lit(SALTS))})
+    words = stored(words, "pii-name-words")
+    lookup = name_words(words, key)
+    by = ["role", "title_gender", "word"]
+    parts = words.select(*by, "salt").distinct().join(lookup, by)
+    back = words.join(parts, [*by, "salt"])
+    feminine = F.when(F.col("title_gender") == "f", "ова").otherwise("ов")
+    new = F.concat("new", F.when((F.col("role") == "surname") & (F.col("script") == "cyrillic"), feminine).otherwise(""))
+    whole = back.groupBy("rid", "mention").agg(F.array_sort(F.collect_list(F.struct("k", new.alias("w")))).alias("new"))
+    text = F.array_join(F.transform("new", lambda x: x["w"]), " ")
+    shout = (F.upper(plain) == plain) & (F.length(plain) > 1)
+    return whole.select("rid", "mention", F.concat(F.regexp_extract("mention", rf"^{_TITLE} ", 0), F.when(shout, F.upper(text)).otherwise(F.initcap(text))).alias("written"))
+
+
+def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str = "n_pii") -> DataFrame:
     """The input with its text's personal data replaced, and the number of mentions."""
-    text = F.col(text_col)
-    found = docs.where(F.rlike(text, F.lit(_HINT))).select(F.col(id_col).alias("_pii_id"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_pii_found"))
-    found = stored(found.where(F.size("_pii_found") > 0), "pii-found")
-    each = found.select("_pii_id", F.explode(F.array_distinct("_pii_found")).alias("mention"))
-    pairs = each.join(surrogates(each.select("mention").distinct(), key), "mention")
-    maps = pairs.groupBy("_pii_id").agg(F.map_from_entries(F.collect_set(F.struct("mention", "written"))).alias("_pii_map"))
-    rows = docs.join(maps, docs[id_col].eqNullSafe(maps["_pii_id"]), "left")
-    has = F.col("_pii_map").isNotNull()
-    mentions = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col("_pii_map"), m), m))
-    between = F.split(text, PATTERN, -1)
+    keep = [c for c in docs.columns if c != count_col]
+    text = docs[text_col]
+    hint = F.rlike(text, F.lit(_HINT))
+    rest = docs.where(~F.coalesce(hint & F.rlike(text, F.lit(PATTERN)), F.lit(False))).select(*keep, F.lit(0).alias(count_col))
+    mentions = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    found = docs.where(hint).select(F.struct(*keep).alias("row"), mentions.alias("found"))
+    found = stored(found.where(F.size("found") > 0).withColumn("rid", F.monotonically_increasing_id()), "pii-found")
+    names = _named(found, key).groupBy(F.col("rid").alias("name_rid")).agg(F.map_from_entries(F.collect_list(F.struct("mention", "written"))).alias("names"))
+    none = F.create_map().cast("map<string,string>")
+
+    def with_canon(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _canon(x["kind"], x["m"]).alias("canon"))
+
+    def with_new(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _surrogate(key, x["kind"], x["m"], x["canon"]).alias("new"))
+
+    both = found.join(names, F.col("rid") == F.col("name_rid"), "left").select("row", "found", F.coalesce("names", none).alias("names"))
+    new = F.transform(F.transform(F.transform("found", with_canon), with_new), lambda x: F.when(x["kind"] == "name", F.try_element_at(F.col("names"), x["m"])).otherwise(_written(x["kind"], x["m"], x["new"])))
+    between = F.split(F.col(f"row.{text_col}"), PATTERN, -1)
     whole = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = rows.withColumn(count_col, F.when(has & text.isNotNull(), F.size(mentions)).otherwise(0)).withColumn(text_col, F.when(has & (F.col(count_col) > 0), whole).otherwise(text))
-    return out.select(*(c for c in docs.columns if c != count_col), count_col)
+    done = both.select(*(whole.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in keep), F.size("found").alias(count_col))
+    return rest.union(done)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
