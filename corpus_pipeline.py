@@ -13,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import stored, table
+from sparkloupe.llm.common import discard, free_name, stored, table
 from sparkloupe.llm.decontamination import contaminated
 from sparkloupe.llm.mixing import mix_sources
 from sparkloupe.llm.ngram_join import JaccardJoin, jaccard_components
-from sparkloupe.llm.pii import replace_pii
+from sparkloupe.llm.pii import replace_pii, surrogate_key
 from sparkloupe.llm.quality_rules import judged, quality_measures
 
 #: Near duplicates here: five words a shingle and a similarity of 0.8 or more.
@@ -44,9 +44,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; n_chars follows the text."""
-    new = replace_pii(docs, count_col="_pii_n")
+    count = free_name("n_pii", docs)
+    new = replace_pii(docs, surrogate_key(spark), count_col=count)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
 
 
