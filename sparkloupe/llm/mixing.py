@@ -12,22 +12,22 @@ Of each length the needed number of documents is chosen in a seeded order, dealt
 What reaches the driver is two sums per round of sharing.  Per source, one task holds a row for each
 distinct length.
 
+Rows are told apart by no key, so null and repeated ids are rows like others.  They are ordered by hashes of
+their id and text, so reruns agree: rows that are equal in both, and only those, may change places.
+
 Cases: a null source is a source of its own, last; null or empty texts have size 0, take 0 and do not
-count; repeated rows are documents of their own, told apart only by chance of order; an empty table gives
-an empty result; reruns agree, as all orders are fixed by hashes and ids.
+count; repeated rows are documents of their own; other columns are kept where asked for, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import blocks, mix, stored, table
+from sparkloupe.llm.common import WORD, mix, stored, table
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -81,25 +81,29 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     return take.astype(np.int64)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of every row."""
+def size_of(text: Column) -> Column:
+    """The number of words: one letter is left of each, and of what stands around it."""
+    space = r"[\x20\x09-\x0D]*"
+    return F.when(F.rlike(text, F.lit(WORD)), F.length(F.regexp_replace(text, f"{space}{WORD}{space}", "w"))).otherwise(0).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.zeros(batch.num_rows, np.int64)
-            for block in blocks(batch.column(2)):
-                size[block.rows] = np.diff(block.first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], names=["doc_id", "source", "size"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, size long")
+def ranked(totals: DataFrame) -> DataFrame:
+    """Adds rank, from 0, by code point of source, null last; sorted in ranges, so no task holds all sources."""
+    rows = stored(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mixing-order")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before, start = [], 0
+    for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each range
+        before.append((r.part, start))
+        start += r.n
+    ranges = totals.sparkSession.createDataFrame(before, "part long, before long")
+    return rows.withColumn("part", part).join(ranges, "part").withColumn("rank", F.col("before") + place).drop("at", "part", "before")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) of a table (source, size)."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    pick = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    totals = stored(totals.withColumn("weight", pick.cast("long")), "mixing-sources")
+    pick = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    totals = stored(ranked(totals).withColumn("weight", pick.cast("long")).drop("rank"), "mixing-sources")
     cap = F.col("source_size") * MOST
     share = 0.0
     while True:
@@ -112,12 +116,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return totals.select("source", "source_size", F.least(cap.cast("double"), F.col("weight") * F.lit(share)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of docs(doc_id, source, text)."""
-    found = stored(sized(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS))), "mixing-sizes")
-    target = targets(found)
-    hist = found.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
+def mix_sources(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """(row, size, source_size, target, taken, copies) of docs(doc_id, source, text); row: a struct of the columns to keep."""
+    found = docs.select(F.struct(*keep).alias("row"), "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("h", "t"), F.lit(SALTS)))
+    hist = stored(found.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mixing-sizes")
     lengths = hist.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    target = targets(lengths.select("source", (F.col("size") * F.col("n")).alias("size")))
 
     def plan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("size")
@@ -135,10 +140,10 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     dealt = hist.withColumn("before", before).join(need, same).drop(need["source"], need["size"])
     dealt = dealt.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("a"), "passes", "source_size", "target", F.greatest(F.lit(0), F.col("need") - F.col("before")).alias("here"))
     rows = found.join(dealt, found["source"].eqNullSafe(dealt["s"]) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("a")))
-    order = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
+    order = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id", "t"))
     times = F.col("passes") + (order <= F.col("here")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("copies"))
+    return rows.select("row", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("copies"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).select("row.*", "size", "source_size", "target", "taken", "copies")

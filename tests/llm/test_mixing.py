@@ -10,8 +10,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sparkloupe.llm.common import WORD, table
-from sparkloupe.llm.mixing import fit, mix_sources
+from sparkloupe.llm.mixing import fit, mix_sources, ranked, size_of
 
 
 @settings(max_examples=200, deadline=None)
@@ -42,9 +44,13 @@ def water(sizes, weights=(3, 1, 2)):
     return out
 
 
+def flat(df):
+    return mix_sources(df).select("row.*", "size", "source_size", "target", "taken", "copies").collect()
+
+
 def check(df):
     rows = df.select("doc_id", "source", "text").collect()
-    got = mix_sources(df).collect()
+    got = flat(df)
     assert len(got) == len(rows)
     size = {r.doc_id: len(re.findall(WORD, r.text or "")) for r in rows}
     sizes = {}
@@ -56,7 +62,7 @@ def check(df):
         assert r.target == pytest.approx(want[r.source])
         assert r.taken in (0, r.size, 2 * r.size)
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    again = {(r.doc_id, r.taken) for r in mix_sources(df).collect()}
+    again = {(r.doc_id, r.taken) for r in flat(df)}
     assert again == {(r.doc_id, r.taken) for r in got}
     return want, taken
 
@@ -75,3 +81,30 @@ def test_odd_rows(spark):
     assert all(taken[s] <= t + 0.5 for s, t in want.items())
     assert mix_sources(df.limit(0)).collect() == []
     assert {r.taken for r in mix_sources(df.where("text is null")).collect()} == {0}
+
+
+def test_rows_without_key(spark):
+    """Null and repeated ids are rows of their own: none is lost or multiplied, and a source's words stay near its target."""
+    rows = [(None if k % 3 else k % 7, "s" if k % 2 else None, "w " * (k % 23)) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = flat(df)
+    assert len(got) == 700
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert sorted(map(str, got)) == sorted(map(str, flat(df)))
+
+
+def test_many_sources(spark):
+    """Ranks over several sorted ranges follow the code points, null last."""
+    names = [f"{chr(0x41 + k % 900)}{k}" for k in range(3000)] + [None]
+    df = spark.createDataFrame([(s, 1) for s in names], "source string, source_size int").repartition(5)
+    got = {r.source: r["rank"] for r in ranked(df).collect()}
+    assert got == {s: k for k, s in enumerate([*sorted(names[:-1]), None])}
+
+
+@pytest.mark.parametrize("text", [None, "", "   ", "a", " a", "a ", "\ta\n b\x0bc ", "é\xa0x  y", "x" * 50000, " x" * 50000])
+def test_sizes(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").select(size_of(F.col("text")).alias("n"))
+    assert df.first().n == len(re.findall(WORD, text or ""))
