@@ -1,24 +1,29 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a window minimum and a filter, so a vertex with very many neighbours is never collected;
-the edges are written to the shared folder after each round, and only two aggregates reach the driver.
+Every step is a minimum, counted in PARTS parts for each vertex and joined part by part, and a filter: a vertex with
+very many neighbours is never collected nor met by one task; the edges are written to the shared folder after each round, and only two aggregates reach the driver.
 
 Cases: self links and repeated links do not matter; rows with a null end are dropped; no links, no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloupe.llm.common import discard, stored
 
 
+PARTS = 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over undirected edges (a, b), a > b, returning edges of the same kind."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-    near = both.select("a", "b", low.alias("m"))
+    both = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
+    low = parts.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
+    near = both.join(parts.select("a", "part").join(low, "a"), ["a", "part"]).select("a", "b", "m")
     if large:
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.where("b < a").select("a", F.col("m").alias("b")))
     else:

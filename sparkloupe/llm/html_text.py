@@ -4,13 +4,14 @@ A small tokenizer and tree builder (void elements, raw-text elements, implied en
 left open by a closing block) gives the DOM.  Menus, page headers and footers, sidebars, notices,
 adverts, forms, reader comments and other known boilerplate subtrees are cut first; but what a wrapping
 element, a class, an id or a role only suggests is kept where, by the densities of the page with all such
-subtrees, it holds the core or most of the unlinked text and no article stands beside it.  For every remaining
+subtrees, it holds the core or most of the unlinked text and no article stands beside it, and inside an article or
+main element only whole names of a short list count, never parts of names.  For every remaining
 node the composite density is its characters per tag, adjusted by how many of the characters and tags
 belong to links (Sun, Song, Liao: DOM Based Content Extraction via Text Density, 2011); a node's density
 sum adds its children's densities.  The subtree with the largest sum is the core; the smallest density on
-the path from the body to it is the threshold, and every node outside the core whose density reaches it
-gives the best subtree inside it.  A core inside an article or main element stands for all of that
-element.  Blocks are written in page order.
+the path from the body (which counts) to it is the threshold, and every node whose density reaches it, and of
+which links make less than half, gives the subtree with the largest sum inside it.  A core inside an article or main
+element stands for all of that element.  Blocks are written in page order.
 
 Cases: null and empty pages, and pages without text, give an empty text; unclosed or stray tags, unclosed
 comments and attributes without end are read to the end of the page; rows are independent, so repeats
@@ -49,6 +50,10 @@ _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe\w*|subscription|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|comment\w*|disqus|respond|replies|login|search\w*|pagination|pager|widget\w*|toolbar|masthead|copyright|legal|skip|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Whole class names and ids that are boilerplate inside an article or main element too; parts of names say nothing there.
+_INSIDE = frozenset(
+    "ad ads advert adverts advertisement adbox ad-slot ad-container sponsored sponsored-content promo cookie-notice cookie-banner sidebar share sharing share-buttons share-bar social social-share related related-posts related-articles recommended recommendations newsletter newsletter-signup subscribe popup modal navbar menu breadcrumb breadcrumbs pagination pager comment comments comment-list commentlist comments-area comments-section disqus_thread respond replies".split()
+)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar|top)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(
@@ -91,7 +96,9 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return tag == "article" and bool(re.search(r"(?:^|[\s_-])comment", f"{values.get('class', '')} {values.get('id', '')}", re.I))
     name = f"{values.get('class', '')} {values.get('id', '')}"
-    return values.get("role", "").lower() in _BAD_ROLE or bool(_BAD_NAME.search(name)) or (not inside and bool(_HEADER_NAME.search(name)))
+    if inside:
+        return values.get("role", "").lower() in _BAD_ROLE or not _INSIDE.isdisjoint(name.lower().split())
+    return values.get("role", "").lower() in _BAD_ROLE or bool(_BAD_NAME.search(name)) or bool(_HEADER_NAME.search(name))
 
 
 def parse(page: str, spared: frozenset[int] | None = frozenset()) -> Node:
@@ -202,6 +209,21 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """C / T times the logarithm of (C / LC) (T / LT) to the base ln((C / not LC) LC + share C + e); share: of link characters in the body.
+
+    A count of zero in a denominator is one.  On a page without link characters the base is one and the logarithm
+    has no value: there the density is the plain text density C / T.
+    """
+    if not chars:
+        return 0.0
+    plain = chars / (tags or 1)
+    base = math.log(chars / ((chars - link_chars) or 1) * link_chars + share * chars + math.e)
+    if base <= 1:
+        return plain
+    return plain * math.log(chars / (link_chars or 1) * (tags or 1) / (link_tags or 1)) / math.log(base)
+
+
 def measure(root: Node) -> list[Node]:
     """Fills the densities and density sums of a tree; its nodes in page order."""
     nodes = _order(root)
@@ -219,10 +241,7 @@ def measure(root: Node) -> list[Node]:
     body = next((x for x in nodes if x.tag == "body"), root)
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(nodes):
-        if node.chars:
-            c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1) / base
+        node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, share)
         node.total = sum(x.density for x in node.items if isinstance(x, Node))
     return nodes
 
@@ -236,35 +255,40 @@ def content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     nodes = measure(root)
     body = next((x for x in nodes if x.tag == "body"), root)
-    core = _best(_order(body))
+    inner = _order(body)
+    core = _best(inner)
     if core is None:
         return []
     while core.total == 0 and core.parent is not None and core is not body:
         core = core.parent  # a lone block
     threshold, node, around = core.density, core, None
-    while node is not None and node is not body:
+    while node is not None:
         threshold = min(threshold, node.density)
         if node.tag in ("article", "main"):
             around = node
-        node = node.parent
+        node = None if node is body else node.parent
     if around is not None:
-        core = around
+        return [around]
+    # of every node whose density reaches the threshold, the subtree with the largest sum in it
+    best: dict[int, Node] = {}
+    marked = {id(core)}
+    for node in reversed(inner):
+        top = node
+        for x in node.items:
+            if isinstance(x, Node) and best[id(x)].total > top.total:
+                top = best[id(x)]
+        best[id(node)] = top
+        if node.chars and node.density >= threshold and node.link_chars * 2 < node.chars:
+            marked.add(id(top))
     kept: list[Node] = []
     todo = [body]
-    above = set()
-    node = core
-    while node is not None:
-        above.add(id(node))
-        node = node.parent
     while todo:
         node = todo.pop()
-        if node is core:
+        if id(node) in marked:
             kept.append(node)
-        elif id(node) in above:
+        else:
             todo.extend(x for x in reversed(node.items) if isinstance(x, Node))
-        elif around is None and node.density >= threshold and node.link_chars * 2 < node.chars:
-            kept.append(node)
-    if around is None and len(kept) == 1 and core is not body and any(isinstance(x, str) and x.strip() for x in body.items):
+    if len(kept) == 1 and core is not body and any(isinstance(x, str) and x.strip() for x in body.items):
         return [body]  # bare text beside the core
     return kept
 

@@ -6,9 +6,11 @@ family is a family of its own.  Linear support vector machines, one for each pai
 the family; one for each pair of languages within it vote for the language.  The score multiplies the
 logistic values of the winner's weakest margins at both levels.
 
-Training takes SAMPLE texts of each label (those with the smallest hashes of doc_id), a bound that does not
-grow with the input, and only rows that are not held out: crc32 of doc_id as text, modulo FOLDS, is not 0.
-Only text and lang are learned from.  Every row is predicted from its whole text, in one pass.
+Training takes SAMPLE texts of each label (those with the smallest hashes of doc_id; for a pair of families SAMPLE of
+each family), a bound that does not grow with the input, and only rows that are not held out: crc32 of doc_id as text,
+modulo FOLDS, is not 0.  Every pair is trained by a task of its own; only the machines' weights come to the driver.
+Only text and lang are learned from.  Every row is predicted from its whole text, in one pass; long texts are counted
+in steps of PIECE_BYTES, cut between words.
 
 Cases: null texts and texts without a letter get `und` and score 0, and so does every text when no label
 can be learned; with one label all others get it; equal votes go to the larger margin sum, then to the
@@ -21,17 +23,21 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import row_groups, table, text_views
+from sparkloupe.llm.common import row_groups, stored, table, text_views, word_spans
 
 FOLDS = 5
 SAMPLE = 600
 GRAM_BITS = 12
 ORDERS = (2, 3)
 DIMENSIONS = 256 + (len(ORDERS) << GRAM_BITS)
+#: Bytes of a text that are counted in one step, and texts that are.
+PIECE_BYTES = 1 << 20
+TEXTS = 64
 #: Language codes by family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "fy", "af", "lb", "yi"),
@@ -76,31 +82,65 @@ def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
             base += 1 << GRAM_BITS
 
 
-def _sums(texts: list[memoryview], table_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the mean row of table_ over its n-grams of each order, added up; and whether it has a letter."""
-    parts = [_letters(t) for t in texts]
-    size = np.array([len(p[0]) for p in parts])
-    begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(p[0] for p in parts), np.uint8)
-    out = np.zeros((len(texts), table_.shape[1]))
-    for k, gram in enumerate(_grams(data)):
-        n = (1, *ORDERS)[k]
-        rows = table_[gram]
-        if n > 1:  # n-grams that run into the next text do not count
-            over = (begin[1:, None] - np.arange(1, n)).ravel()
-            rows[over[(over >= 0) & (over < len(rows))]] = 0
-        sums = np.add.reduceat(rows, np.minimum(begin, len(rows) - 1), axis=0, dtype=np.float64)
-        out += sums / np.maximum(1, size - n + 1)[:, None]
-    return out, np.array([p[1] for p in parts], bool)
-
-
-def features(text: memoryview) -> np.ndarray:
-    data = np.frombuffer(_letters(text)[0], np.uint8)
-    out = np.zeros(DIMENSIONS, np.float32)
-    for gram in _grams(data):
-        if len(gram):
-            out += np.bincount(gram, minlength=DIMENSIONS).astype(np.float32) / len(gram)
-    return out
+def _cut(text: memoryview) -> Iterator[memoryview]:
+    """A long text in pieces that end where a word does."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        _, ends = word_spans(np.frombuffer(text[at : at + PIECE_BYTES], np.uint8))
+        ends = ends[ends < PIECE_BYTES]
+        size = int(ends[-1]) if len(ends) else PIECE_BYTES
+        while len(text) > at + size and text[at + size] & 0xC0 == 0x80:  # a word of a whole piece is cut at a character
+            size += 1
+        yield text[at : at + size]
+        at += size
+    yield text[at:]
+
+
+def features(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the frequencies of its n-grams, order by order; and whether it has a letter."""
+    out, total, has = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros((len(texts), 1 + len(ORDERS))), np.zeros(len(texts), bool)
+    rows, parts = [], []
+
+    def count() -> None:
+        size = np.array([len(p) for p in parts])
+        owner = np.repeat(np.array(rows), size)
+        begin = (np.cumsum(size) - size)[1:]
+        base = 0
+        for k, gram in enumerate(_grams(np.frombuffer(b"".join(parts), np.uint8))):
+            n, width = (1, *ORDERS)[k], 256 if k == 0 else 1 << GRAM_BITS
+            own = owner[: len(gram)]
+            ok = np.ones(len(gram), bool)
+            if n > 1:  # n-grams that run into the next piece do not count
+                over = (begin[:, None] - np.arange(1, n)).ravel()
+                ok[over[(over >= 0) & (over < len(ok))]] = False
+            low = int(owner[0])
+            some = int(owner[-1]) + 1 - low
+            found = np.bincount((own[ok] - low) * width + gram[ok] - base, minlength=some * width).reshape(some, width)
+            out[low : low + some, base : base + width] += found
+            total[low : low + some, k] += found.sum(1)
+            base += width
+        rows.clear()
+        parts.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        for piece in _cut(text):
+            data, letter = _letters(piece)
+            has[i] |= letter
+            rows.append(i)
+            parts.append(data)
+            held += len(data)
+            if held >= PIECE_BYTES:
+                count()
+                held = 0
+    if parts:
+        count()
+    base = 0
+    for k in range(1 + len(ORDERS)):
+        width = 256 if k == 0 else 1 << GRAM_BITS
+        out[:, base : base + width] /= np.maximum(1, total[:, k : k + 1])
+        base += width
+    return out, has
 
 
 def _train(x: np.ndarray, sign: np.ndarray, rounds: int = 40, rate: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -126,28 +166,25 @@ def _train(x: np.ndarray, sign: np.ndarray, rounds: int = 40, rate: float = 1e-4
 class Hierarchy:
     """The trained machines: weights of all pairs side by side, one column each."""
 
-    def __init__(self, x: np.ndarray, labels: list[str]) -> None:
-        self.languages = sorted(set(labels))
+    def __init__(self, languages: list[str]) -> None:
+        self.languages = sorted(languages)
         groups: dict[str, list[str]] = {}
         for code in self.languages:
             groups.setdefault(family_of(code), []).append(code)
         self.families = sorted(groups)
         self.members = groups
-        own = np.array(labels, object)
-        kin = np.array([family_of(c) for c in labels], object)
-        center = x.mean(0) if len(x) else np.zeros(DIMENSIONS)
-        spread = x.std(0) + 1e-4 if len(x) else np.ones(DIMENSIONS)
-        x = ((x - center) / spread).astype(np.float32)
-        self.pairs: dict[tuple[str, str, str], int] = {}
-        columns, self.bias = [], []
-        tasks = [("", a, b, kin) for a, b in combinations(self.families, 2)] + [(f, a, b, own) for f in self.families for a, b in combinations(groups[f], 2)]
-        for level, a, b, of in tasks:
-            at = np.flatnonzero((of == a) | (of == b))
-            weight, bias = _train(x[at], np.where(of[at] == a, 1.0, -1.0))
-            self.pairs[(level, a, b)] = len(columns)
-            columns.append(weight / spread)
-            self.bias.append(bias - float((weight / spread) @ center))
-        self.table = np.array(columns, np.float32).T.reshape(DIMENSIONS, len(columns)).copy()
+        names = [("", a, b) for a, b in combinations(self.families, 2)] + [(f, a, b) for f in self.families for a, b in combinations(groups[f], 2)]
+        self.pairs: dict[tuple[str, str, str], int] = {p: k for k, p in enumerate(names)}
+        self.table = np.zeros((DIMENSIONS, len(names)), np.float32)
+        self.bias = np.zeros(len(names))
+
+    def sides(self) -> list[tuple[int, str, bool]]:
+        """(pair, language, whether it is on the first side) for every language that a pair's machine learns from."""
+        out = []
+        for (level, a, b), k in self.pairs.items():
+            for side in (a, b):
+                out += [(k, code, side == a) for code in (self.members[side] if level == "" else (side,))]
+        return out
 
     def _vote(self, level: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The winner's number and its weakest margin, for each row."""
@@ -167,8 +204,8 @@ class Hierarchy:
     def predict(self, texts: list[memoryview]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        sums, has = _sums(texts, self.table)
-        margins = sums + np.array(self.bias)
+        found, has = features(texts)
+        margins = found @ self.table + self.bias
         family, weakest = self._vote("", self.families, margins)
         out = np.full(len(texts), "und", object)
         score = 1 / (1 + np.exp(-3 * np.clip(weakest, -10, 10)))
@@ -199,11 +236,34 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in text_views(batch.column(2))], pa.binary())], names=["lang", "h", "x"])
-
-    found = picked.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
-    x = np.array([np.frombuffer(b.as_buffer(), np.float32) for b in found["x"]], np.float32).reshape(-1, DIMENSIONS)
-    return Hierarchy(x, found["lang"].to_pylist())
+            texts = text_views(batch.column(2))
+            for a in range(0, len(texts), TEXTS):
+                found, _ = features(texts[a : a + TEXTS])
+                at = [np.flatnonzero(x).astype(np.uint16) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + TEXTS], batch.column(1)[a : a + TEXTS], pa.array([k.tobytes() for k in at], pa.binary()), pa.array([x[k].tobytes() for x, k in zip(found, at, strict=True)], pa.binary())], names=["lang", "h", "at", "x"])
+
+    found = stored(picked.select("lang", "h", "text").mapInArrow(run, "lang string, h long, at binary, x binary"), "language-features")
+    model = Hierarchy([r.lang for r in found.select("lang").distinct().collect()])
+    if not model.pairs:
+        return model
+    sides = docs.sparkSession.createDataFrame(model.sides(), "pair int, lang string, first boolean")
+    best = F.row_number().over(Window.partitionBy("pair", "first").orderBy("h", "lang"))
+    rows = found.join(sides, "lang").withColumn("n", best).where(F.col("n") <= sample)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["first", "h", "lang"]).reset_index(drop=True)
+        x = np.zeros((len(frame), DIMENSIONS), np.float32)
+        for k, (at, values) in enumerate(zip(frame["at"], frame["x"], strict=True)):
+            x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(values, np.float32)
+        center, spread = x.mean(0), x.std(0) + 1e-4
+        weight, bias = _train((x - center) / spread, np.where(frame["first"], 1.0, -1.0))
+        weight = (weight / spread).astype(np.float32)
+        return pd.DataFrame({"pair": [frame["pair"].iloc[0]], "weight": [weight.tobytes()], "bias": [bias - float(weight.astype(np.float64) @ center)]})
+
+    # a machine for each pair of families and of languages within one: as many as the model holds
+    for pair, weight, bias in rows.groupBy("pair").applyInPandas(fit, "pair int, weight binary, bias double").collect():
+        model.table[:, pair], model.bias[pair] = np.frombuffer(weight, np.float32), bias
+    return model
 
 
 def identify(docs: DataFrame, model: Hierarchy, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +275,10 @@ def identify(docs: DataFrame, model: Hierarchy, *, id_col: str = "doc_id", text_
         for batch in batches:
             texts, names, scores = text_views(batch.column(1)), [], []
             for a, b in row_groups(texts, 1 << 19):
-                name, score = sent.value.predict(texts[a:b])
-                names += name
-                scores.append(score)
+                for c in range(a, b, TEXTS):
+                    name, score = sent.value.predict(texts[c : min(b, c + TEXTS)])
+                    names += name
+                    scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["id", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")

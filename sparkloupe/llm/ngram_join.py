@@ -423,3 +423,19 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+gram AS (SELECT doc_id, n, p, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM word),
+sh AS (SELECT DISTINCT doc_id, s FROM gram WHERE p + 3 <= n OR (n < 4 AND p = 1)),
+cnt AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM pair JOIN cnt x ON x.doc_id = a JOIN cnt y ON y.doc_id = b WHERE 100 * pair.c >= 85 * (x.c + y.c - pair.c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT DISTINCT a, a FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+label AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(cnt.c, 0)::BIGINT AS n_shingles, coalesce(label.c, d.doc_id)::BIGINT AS component_id
+FROM d LEFT JOIN cnt USING (doc_id) LEFT JOIN label USING (doc_id)
+"""

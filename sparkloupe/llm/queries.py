@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloupe.llm import quality_rules, url_filters
+from sparkloupe.llm import ngram_join, quality_rules, substring_dedup, url_filters
 from sparkloupe.llm.decontamination import op10_decontamination
 from sparkloupe.llm.html_text import op8_html_text
 from sparkloupe.llm.language_id import op9_language_id
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.SQL, "op6_quality_rules": quality_rules.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_substring_dedup": substring_dedup.SQL, "op4_url_filters": url_filters.SQL, "op6_quality_rules": quality_rules.SQL}

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkloupe.llm.common import table
-from sparkloupe.llm.html_text import extract_text, main_text
+from sparkloupe.llm.html_text import content, extract_text, main_text, measure, parse
 
 
 def article_text(page):
@@ -18,8 +21,9 @@ def article_text(page):
     return "\n".join(x for x in (" ".join(html.unescape(y).split()) for y in body.split("\n")) if x)
 
 
-def test_whole_table(spark, sf):
-    pages = table(spark, sf, "pages")
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_whole_table(spark, sf, size):
+    pages = table(spark, sf.replace("0.001", size), "pages")
     got = {r.page_id: r for r in extract_text(pages).collect()}
     for r in pages.collect():
         assert got[r.page_id].text == article_text(r.html)
@@ -71,3 +75,62 @@ def test_odd_pages(spark):
 def test_never_fails(parts):
     text = main_text("".join(parts))
     assert "\n\n" not in text and text == text.strip()
+
+
+def test_article_names_that_only_look_like_boilerplate():
+    line = " ".join(["words of an article"] * 12)
+    page = f"<body><nav><a href=x>Home</a></nav><article><p>{line}</p>" + "".join(f'<section class="{c}"><p>{c} {line}</p></section>' for c in ("side-effects", "legal-background", "top-ten", "social-history", "search-theory")) + f'<div class="ad">buy</div><div class="share-buttons">share</div></article></body>'
+    text = main_text(page)
+    assert all(f"{c} {line}" in text for c in ("side-effects", "legal-background", "top-ten", "social-history", "search-theory")) and "buy" not in text and "share" not in text
+
+
+def plain(tree, share):
+    """Counts and densities of a tree of (tag, children), straight from the formula."""
+    tag, children = tree
+    chars = sum(len("".join(x.split())) for x in children if isinstance(x, str))
+    tags = links = link_tags = 0
+    under, total = [], 0.0
+    for x in children:
+        if not isinstance(x, str):
+            part = plain(x, share)
+            chars, tags, links, link_tags = chars + part[0]["c"], tags + part[0]["t"] + 1, links + part[0]["lc"], link_tags + part[0]["lt"] + (x[0] == "a")
+            total += part[0]["d"]
+            under += part
+    links = chars if tag == "a" else links
+    density = 0.0
+    if chars:
+        base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+        density = chars / max(1, tags) * (math.log(chars / max(1, links) * max(1, tags) / max(1, link_tags), base) if base > 1 else 1)
+    return [{"c": chars, "t": tags, "lc": links, "lt": link_tags, "d": density, "sum": total}, *under]
+
+
+def written(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>" + "".join(map(written, tree[1])) + f"</{tree[0]}>"
+
+
+def grown(rng, depth):
+    if depth == 0 or rng.random() < 0.2:
+        return ("a" if rng.random() < 0.3 else "span", [" ".join(rng.choice(("word", "of", "text")) for _ in range(rng.randint(1, 30)))])
+    return ("div", [grown(rng, depth - 1) for _ in range(rng.randint(1, 4))])
+
+
+def test_densities_against_the_formula():
+    """Every node's density and sum on pages without an article, and the core is the node with the largest sum."""
+    rng = random.Random(12)
+    for _ in range(150):
+        tree = ("body", [grown(rng, rng.randint(1, 5)) for _ in range(rng.randint(1, 4))])
+        count = plain(tree, 0.0)[0]
+        want = plain(tree, count["lc"] / count["c"])
+        root = parse(written(tree))
+        nodes = [x for x in measure(root) if x is not root]
+        assert [(x.chars, x.tags, x.link_chars, x.link_tags) for x in nodes] == [(w["c"], w["t"], w["lc"], w["lt"]) for w in want]
+        assert [x.density for x in nodes] == pytest.approx([w["d"] for w in want]) and [x.total for x in nodes] == pytest.approx([w["sum"] for w in want])
+        most = max(w["sum"] for w in want)
+        if most > 0:
+            kept, inside = content(root), set()
+            todo = list(kept)
+            while todo:
+                node = todo.pop()
+                inside.add(id(node))
+                todo += [x for x in node.items if not isinstance(x, str)]
+            assert any(id(x) in inside for x, w in zip(nodes, want, strict=True) if w["sum"] >= most * (1 - 1e-9))  # the core is kept

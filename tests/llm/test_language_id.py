@@ -47,3 +47,28 @@ def test_odd_rows(spark):
     one = li.train(make(spark, [r for r in train if r[2] == "en"]))
     assert {r.lang_pred for r in li.identify(make(spark, train), one).collect()} == {"en"}
     assert li.identify(make(spark, []), model).collect() == []
+
+
+def test_features_against_counting(monkeypatch):
+    """Frequencies of letter n-grams as counted one by one; long texts in pieces."""
+    from collections import Counter
+
+    import numpy as np
+
+    texts = ["", "Aé b", "12 no 34 digits!", "word " * 300, "ß" * 50, "x"]
+    found, has = li.features([memoryview(t.encode()) for t in texts])
+    for x, t, h in zip(found, texts, has, strict=True):
+        assert h == any(c.isalpha() for c in t)
+        data = np.frombuffer(li._letters(memoryview(t.encode()))[0], np.uint8)
+        want = np.zeros(li.DIMENSIONS)
+        for gram in li._grams(data):
+            for k, n in Counter(gram.tolist()).items():
+                want[k] = n / len(gram)
+        assert np.allclose(x, want)
+    monkeypatch.setattr(li, "PIECE_BYTES", 64)
+    cut, _ = li.features([memoryview(("some words here " * 40).encode()), memoryview(("é" * 500).encode())])
+    monkeypatch.undo()
+    whole, _ = li.features([memoryview(("some words here " * 40).encode()), memoryview(("é" * 500).encode())])
+    assert np.abs(cut - whole).max() < 0.05
+    pieces = [bytes(p) for p in li._cut(memoryview("añ b".encode()))]
+    assert b"".join(pieces).decode() == "añ b"
