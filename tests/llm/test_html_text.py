@@ -127,8 +127,8 @@ def test_densities_against_the_formula():
         assert [x.density for x in nodes] == pytest.approx([w["d"] for w in want]) and [x.total for x in nodes] == pytest.approx([w["sum"] for w in want])
         most = max(w["sum"] for w in want)
         if most > 0:
-            kept, inside = content(root), set()
-            todo = list(kept)
+            again = parse(written(tree))
+            todo, inside = content(again), set()
             while todo:
                 node = todo.pop()
                 inside.add(id(node))
