@@ -1,29 +1,34 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a minimum, counted in PARTS parts for each vertex and joined part by part, and a filter: a vertex with
-very many neighbours is never collected nor met by one task; the edges are written to the shared folder after each round, and only two aggregates reach the driver.
+Every step is a minimum over each vertex' links and a filter, so a vertex with very many is never collected; where one
+has HOT_DEGREE or more, the minimum is found and joined in PARTS parts, so no task meets all of them.  The edges are written to the shared folder after each round, and only two aggregates reach the driver.
 
 Cases: self links and repeated links do not matter; rows with a null end are dropped; no links, no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloupe.llm.common import discard, stored
 
 
 PARTS = 16
+#: Links of one vertex from which its minimum is found in parts; a task holds as many without effort.
+HOT_DEGREE = 200_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot: bool) -> DataFrame:
     """One step over undirected edges (a, b), a > b, returning edges of the same kind."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    both = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-    parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
-    low = parts.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
-    near = both.join(parts.select("a", "part").join(low, "a"), ["a", "part"]).select("a", "b", "m")
+    if hot:
+        both = both.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+        parts = both.groupBy("a", "part").agg(F.min("b").alias("m"))
+        low = parts.groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
+        near = both.join(parts.select("a", "part").join(low, "a"), ["a", "part"]).select("a", "b", "m")
+    else:
+        near = both.select("a", "b", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")).alias("m"))
     if large:
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.where("b < a").select("a", F.col("m").alias("b")))
     else:
@@ -36,10 +41,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)  # null ends go here
     mark = None
     while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        degrees = now.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        *new, most = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
         if new == mark or not new[0]:
             break
         mark = new
-        last, now = now, stored(_star(_star(now, True), False), name)
+        last, now = now, stored(_star(_star(now, True, most >= HOT_DEGREE), False, most >= HOT_DEGREE), name)
         discard(last)
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).union(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
-from sparkloupe.llm import common
+from sparkloupe.llm import common, graph
 from sparkloupe.llm.graph import components
 
 
@@ -24,7 +25,9 @@ def union_find(edges):
     return {x: find(x) for x in root}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_components(spark, hot, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_DEGREE", hot)
     rng = random.Random(6)
     path = [(k, k + 1) for k in range(100, 160)]
     star = [(500, k) for k in range(501, 600)]
