@@ -17,7 +17,7 @@ all of them in small groups, and is counted there, or one in a large group, and
 
 Hot keys: texts with an empty set are set aside; classes, and the tokens that the sketch knows to be in very
 many documents, are counted in SALTS parts and joined part by part.  Candidates come from 64-bit shingle
-names; a link is decided by 128-bit ones (two lanes of word names), a class by a 128-bit digest of the set.
+names; a link is decided by 96-bit ones (64 and 32 bits of two lanes of word names), a class by a 128-bit digest.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; a text with fewer words than
 a shingle has one shingle; ties and repeated rows share a class; an empty table gives an empty result;
@@ -92,12 +92,17 @@ def _sets(block: Block, words: int) -> Iterator[tuple[int, np.ndarray]]:
         yield row, np.unique(shingles(block.name[first[i] : first[i + 1]], words))
 
 
-def _wide_sets(block: Block, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The same names, followed by those of the second lane in the same order."""
+def _wide_sets(block: Block, words: int) -> Iterator[tuple[int, bytes]]:
+    """The same names, followed by 32 bits of each one's name in the second lane."""
     first, other = block.first.tolist(), block.other_names()
     for i, row in enumerate(block.rows.tolist()):
         own, at = np.unique(shingles(block.name[first[i] : first[i + 1]], words), return_index=True)
-        yield row, np.concatenate([own, shingles(other[first[i] : first[i + 1]], words, 1)[at]])
+        yield row, own.tobytes() + (shingles(other[first[i] : first[i + 1]], words, 1)[at] >> U64(32)).astype(np.uint32).tobytes()
+
+
+def _wide(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, U64, n), np.frombuffer(data, np.uint32, n, 8 * n)
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -188,12 +193,12 @@ def _may_link(x: bytes, y: bytes, n: int, m: int, rule: JaccardJoin) -> bool:
     return True
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
     """Of two wide sets."""
-    n, m = len(x) // 2, len(y) // 2
-    at = np.minimum(np.searchsorted(y[:m], x[:n]), m - 1)
-    both = int(((y[at] == x[:n]) & (y[m + at] == x[n:])).sum())
-    return 100 * both >= percent * (n + m - both)
+    (a, p), (b, q) = _wide(x), _wide(y)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(((b[at] == a) & (q[at] == p)).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 #: Bits of the map by which wanted ids are recognised while scanning; past an eighth of it a join is used.
@@ -246,7 +251,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: JaccardJoin) -> DataFrame:
             out = [b""] * batch.num_rows
             for block in blocks(batch.column(1), lower=True):
                 for row, s in _wide_sets(block, rule.words):
-                    out[row] = s.tobytes()
+                    out[row] = s
             for a in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 500], pa.array(out[a : a + 500], pa.binary())], names=["id", "set"])
 
@@ -270,7 +275,7 @@ def _verify(near: DataFrame, docs: DataFrame, rule: JaccardJoin) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_linked(np.frombuffer(a, U64), np.frombuffer(b, U64), rule.percent) for a, b in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([_linked(a, b, rule.percent) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     full = stored(sets_of(docs, wanted, rule), "ngram-sets")
@@ -295,12 +300,10 @@ def _block_pairs(groups: DataFrame) -> DataFrame:
     return other.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "nm", "no", "is_main", "main", "all", "most")
 
 
-def _numbered(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Numbers for the 128-bit names of wide sets, equal for equal names."""
-    size = [len(x) // 2 for x in sets]
-    low = np.unique(np.concatenate([x[:n] for x, n in zip(sets, size, strict=True)]), return_inverse=True)[1]
-    high = np.unique(np.concatenate([x[n:] for x, n in zip(sets, size, strict=True)]), return_inverse=True)[1]
-    return np.split((low * (int(high.max(initial=0)) + 1) + high).astype(U64), np.cumsum(size)[:-1])
+def _numbered(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Numbers for the names of wide sets, equal for equal names."""
+    low, high = (np.unique(np.concatenate(lane), return_inverse=True)[1] for lane in zip(*sets, strict=True))
+    return np.split((low * (int(high.max(initial=0)) + 1) + high).astype(U64), np.cumsum([len(x) for x, _ in sets])[:-1])
 
 
 def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> DataFrame:
@@ -322,7 +325,7 @@ def _kernel(groups: DataFrame, column: str, test: str, rule: JaccardJoin) -> Dat
 
         found: list[tuple[int, int]] = []
         size = frame["n"].to_numpy()
-        halves = [_numbered([np.frombuffer(x, U64) for x in frame[column]])] if test == "sets" else [[b[k].astype(U64) for b in map(_orders, frame[column])] for k in (0, 1)]
+        halves = [_numbered([_wide(x) for x in frame[column]])] if test == "sets" else [[b[k].astype(U64) for b in map(_orders, frame[column])] for k in (0, 1)]
         lists = []
         for rows in halves:
             length = np.array([len(r) for r in rows])
