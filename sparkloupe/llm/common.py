@@ -218,6 +218,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that have ended: it does so when the driver's garbage is collected,
+    which a driver with little to do may put off until the executors' disks are full."""
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all stored tables; for a caller that has written or read its results."""
     for path in [*_PATHS]:

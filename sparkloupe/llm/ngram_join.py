@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import U64, Block, blocks, discard, mix, stored, table, task_number, tree_sum
+from sparkloupe.llm.common import U64, Block, blocks, discard, free_shuffles, mix, stored, table, task_number, tree_sum
 from sparkloupe.llm.graph import components
 
 SKETCH_BITS = 23
@@ -387,8 +387,11 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
     whole = parts.groupBy(*key).agg(F.min("id").alias("id"), F.sum("c").alias("c"))
     classes = stored(parts.select(*key, "salt").join(whole, key), "ngram-classes")
     copies = sign.join(classes.where("c > 1").drop("c"), [*key, "salt"]).where("doc_id > id").select("doc_id")
+    spark = docs.sparkSession
+    free_shuffles(spark)
     sizes = sign.select(F.col("doc_id").alias("id"), "n")
     shared = stored(_shared_tokens(sign.where("n > 0 AND doc_id IS NOT NULL"), copies).join(sizes, "id").select("token", "id", "size", "p", "n"), "ngram-shared")
+    free_shuffles(spark)
     reps = sign.select(F.col("doc_id").alias("id"), "n", "more")
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     small = shared.where(F.col("size") <= SMALL)
@@ -398,7 +401,9 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
     pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("common")).where(F.col("common") >= need).select("a", "b")
     stars = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("p"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     near = stored(_plausible(pairs.union(stars).distinct(), reps, rule), "ngram-near")
+    free_shuffles(spark)
     links = _verify(near, docs, rule)
+    free_shuffles(spark)
     merged = components(links, "ngram-components")
     large = shared.where(F.col("size") > SMALL).select("token", "id", "size", "n")
     if not large.isEmpty():
@@ -408,6 +413,7 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
         once = mixed.where("lo < hi").groupBy("x", "y").agg(F.min("token").alias("token"))
         across = _kernel(_block_pairs(own.join(once.select("token"), "token", "left_semi").join(reps.drop("n"), "id")), "more", "orders", rule)
         across = stored(across.distinct(), "ngram-across")
+        free_shuffles(spark)
         clusters = components(near.union(across), "ngram-clusters").withColumnRenamed("label", "token")
         # within a cluster, all members of large groups whose components still differ
         members = large.select("id", "n").distinct().join(clusters, "id").join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -417,6 +423,7 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
         merged = components(links.union(found), "ngram-components")
         discard(across, members)
     discard(shared, near, links)
+    free_shuffles(spark)
     label = classes.drop("c").join(merged.withColumnRenamed("label", "c"), "id", "left").select(*key, "salt", F.coalesce("c", "id").alias("c"))
     own = sign.select("doc_id", "n", "f0", "f1", "salt")
     out = own.where("n > 0").join(label, [*key, "salt"], "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("component_id"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloupe.llm.common import STEP_BYTES, U64, Block, blocks, gram_names, mix, n_groups, stored, table, text_views
+from sparkloupe.llm.common import STEP_BYTES, U64, Block, blocks, free_shuffles, gram_names, mix, n_groups, stored, table, text_views
 
 WINDOW = 13
 #: Rounds after which long symbols are first taken, and then every so many more.
@@ -458,6 +458,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = packed(docs).withColumn("g", chunk_column(n)).repartition(n, "g")
     marks = looked_up(first_entries(texts, window, bits))
     found = stored(_candidates(texts, marks, window, bits), "substring-candidates")
+    free_shuffles(docs.sparkSession)
     marks = looked_up(found.where("g is not null").select(*(f.name for f in _ENTRY)))
     open_ = found.where("packed is not null").select("doc_id", "packed", "size", "gone").withColumn("g", chunk_column(n))
     closed = found.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
