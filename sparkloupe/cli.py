@@ -144,7 +144,7 @@ def overlaps(args: argparse.Namespace) -> int:
     rows = (ordered.limit(args.top) if args.top > 0 else ordered).collect()
     second = []
     if args.vectors:
-        near = second_pass(run.spark, funcs, pairs, args.vectors, args.min_tokens).orderBy(F.desc("embed"), "a_file", "a_symbol", "b_file", "b_symbol")
+        near = second_pass(run.spark, funcs, pairs, args.vectors, args.min_tokens, args.identity).orderBy(F.desc("embed"), "a_file", "a_symbol", "b_file", "b_symbol")
         second = (near.limit(args.top) if args.top > 0 else near).collect()
     if args.json:
         print(json.dumps({"threshold": args.threshold, "count": len(rows), "pairs": [{k: v for k, v in r.asDict().items() if k not in ("i", "j")} for r in rows], "functions_scanned": n, "functions_compared": eligible, "pairs_above_threshold": pairs.count(), "min_tokens": args.min_tokens, "embed_active": bool(args.vectors), "embed_count": len(second), "embed_pairs": [r.asDict() for r in second]}, indent=2))
@@ -157,9 +157,24 @@ def overlaps(args: argparse.Namespace) -> int:
     return 0
 
 
-def second_pass(spark: SparkSession, funcs: DataFrame, known: DataFrame, path: str, min_tokens: int) -> DataFrame:
-    """Nearest functions by vector that the first pass did not report; the cache at path holds (sha, vec)."""
-    cache = spark.read.parquet(path).select(F.col("sha").alias("source_sha256"), "vec").dropDuplicates(["source_sha256"])
+def second_pass(spark: SparkSession, funcs: DataFrame, known: DataFrame, path: str, min_tokens: int, identity: str | None = None) -> DataFrame:
+    """Nearest functions by vector that the first pass did not report.
+
+    The cache at path holds (sha, vec) and perhaps identity and stored_at: the last valid vector of the identity counts, and
+    one must be named where the cache holds several.
+    """
+    cache = spark.read.parquet(path)
+    names = [r.identity for r in cache.select("identity").distinct().limit(2).collect()] if "identity" in cache.columns else [None]
+    if identity is None and len(names) > 1:
+        raise ValueError("the vector cache holds several identities; name one with --identity")
+    if None in names or "identity" not in cache.columns:
+        cache = cache.withColumn("identity", F.lit(identity or ""))
+        names = [identity or ""]
+    if "stored_at" not in cache.columns:
+        cache = cache.withColumn("stored_at", F.lit(0).cast("long"))
+    first = cache.where(F.col("identity") == (identity or names[0])).first()
+    dim = len(first.vec) if first else 0
+    cache = similarity.cached_vectors(cache, identity or names[0], dim).withColumnRenamed("sha", "source_sha256") if names else cache
     own = funcs.where((F.size("tokens") >= min_tokens) & (F.trim("source") != "")).join(cache, "source_sha256")
     near = similarity.nearest(own.select(F.col("ordinal").alias("i"), "vec", "language", "file", "start_byte", "end_byte"))
     pairs = near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("score").alias("score"))
@@ -233,7 +248,7 @@ def redundancy(args: argparse.Namespace) -> int:
         added = diff.added_lines(files.hunk_headers(run.spark, run.root, args.compare_branch)).persist()
         parsed = run.parse(run.tree())
         for r in pysources.clones(pysources.functions(parsed), added, threshold=args.clone_threshold, min_tokens=args.min_tokens).collect():
-            print(f"[advisory] {r.i} resembles {r.j} ({r.struct:.3f})")
+            print(f"[advisory] {r.a_file}:{r.a_line} {r.a_symbol} resembles {r.b_file}:{r.b_line} {r.b_symbol} ({r.struct:.3f})")
         rows = findings.on_changed_lines(pysources.redundancies(parsed), added).orderBy("file_path", "line").collect()
     for r in rows:
         print(f"[block] {r.file_path}:{r.line}: {r.redundancy}")
@@ -278,7 +293,8 @@ def mutation_gate(args: argparse.Namespace) -> int:
     for r in diff.mutation_gate(rows, ["all"], args.floor).collect():
         print(f"killed {r.killed}, survived {r.survived}, other {r.intolerable} of {r.total}: {'FAILED' if r.failed else 'passed'}")
         return int(r.failed)
-    return 0
+    print("nothing was measured: FAILED")
+    return 1
 
 
 def parser() -> argparse.ArgumentParser:
@@ -320,6 +336,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold", type=float, default=0.55)
     p.add_argument("--top", type=int, default=50)
     p.add_argument("--min-tokens", type=int, default=40)
+    p.add_argument("--identity", default=None, help="whose vectors of the cache count")
     p.add_argument("--vectors", default=None, help="parquet of (sha, vec) for the second pass")
     add("reachability-scan", reachability_scan, "json").add_argument("--top", type=int, default=50)
     add("cycles", cycles, "json").add_argument("--advisory", action="store_true")

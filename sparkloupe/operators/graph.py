@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloupe.session import use_shared_folder
+
 #: Edges up to which components are found on the driver; an import graph of a large tree has far fewer.
 DRIVER_EDGES = 1_000_000
 
@@ -54,6 +56,7 @@ def strong_components(edges: list[tuple[str, str]]) -> list[list[str]]:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Drops edges whose source has no way in or whose target has no way out, again and again: none is in a cycle."""
+    use_shared_folder(edges.sparkSession)
     n = edges.count()
     while True:
         edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")

@@ -128,8 +128,8 @@ def functions(parsed: DataFrame) -> DataFrame:
         F.col("path").alias("file"), "line", F.col("a").alias("symbol"), F.col("x").alias("tokens"), F.col("y").alias("semantic"), F.col("m").alias("start_byte"), F.col("n").alias("end_byte"),
         F.col("b").alias("source"), F.sha2("b", 256).alias("source_sha256"), F.when(F.rlike("path", F.lit(r"\.([cm]?[jt]s|[jt]sx)$")), "javascript").otherwise("python").alias("language"), F.col("ordinal").alias("place"),
     )
-    # (path, place) made one sortable number without a global sort: the path's hash, then the place
-    return rows.withColumn("ordinal", F.shiftleft(F.shiftright(F.xxhash64("file"), 24), 20) + F.col("place"))
+    # path and place as one text that sorts as the two do: corpus order without a sort, and never the same for two functions
+    return rows.withColumn("ordinal", F.concat("file", F.lit("\x01"), F.lpad(F.col("place").cast("string"), 9, "0")))
 
 
 def modules(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -179,12 +179,13 @@ def import_edges(parsed: DataFrame) -> DataFrame:
 
 
 def clones(funcs: DataFrame, added: DataFrame, *, threshold: float = 0.95, api_gate: float = 0.6, min_tokens: int = 40) -> DataFrame:
-    """Best near copy of each function whose def line was added; symmetric pairs once.  added: (file, line)."""
-    pairs = similarity.overlaps(funcs, min_tokens=min_tokens, api_gate=api_gate, threshold=0.0).where(F.col("struct") >= threshold)
-    both = similarity.both_ways(pairs, F.col("struct")).withColumnRenamed("score", "struct")
-    targets = funcs.join(added, (funcs["file"] == added["file"]) & (funcs["line"] == added["line"]), "left_semi").select(F.col("ordinal").alias("i"))
-    best = similarity.best_match(both.join(targets, "i"), "i", "struct", ["j"])
-    return similarity.collapse_symmetric(best, "i", "j", ["i"])
+    """(i, j, struct, a_file, a_line, a_symbol, b_...): best near copy of each function whose def line was added, in corpus order
+    on ties; symmetric pairs once.  added: (file, line)."""
+    asks = funcs.join(added, (funcs["file"] == added["file"]) & (funcs["line"] == added["line"]), "left_semi").select(F.col("ordinal").alias("i"))
+    found = similarity.clone_matches(funcs, asks, threshold=threshold, api_gate=api_gate, min_tokens=min_tokens)
+    best = similarity.collapse_symmetric(similarity.best_match(found, "i", "struct", ["j"]), "i", "j", ["i"])
+    side = lambda key, p: funcs.select(F.col("ordinal").alias(key), *(F.col(c).alias(p + c) for c in ("file", "line", "symbol")))
+    return best.join(side("i", "a_"), "i").join(side("j", "b_"), "j")
 
 
 def size_snapshot(files: DataFrame) -> DataFrame:

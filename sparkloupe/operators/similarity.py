@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 STRUCT_WEIGHT, API_WEIGHT = 0.6, 0.4
 
 
-def jaccard_pairs(items: DataFrame, threshold: float, kin: list[str] | None = None) -> DataFrame:
-    """(i, j, common, n_i, n_j) of pairs i < j with Jaccard similarity of at least threshold; items: (i, tokens, kin...).
+def jaccard_pairs(items: DataFrame, threshold: float, kin: list[str] | None = None, asks: DataFrame | None = None) -> DataFrame:
+    """(i, j, common, n_i, n_j) of pairs i < j, or with asks (i) of pairs of an i that asks and any other j, with Jaccard similarity of at least threshold; items: (i, tokens, kin...).
 
     Exact: pairs meet at shared tokens of their prefixes under one rarity order, and a pair is then counted
     by intersecting its two sets.  Items without tokens match nothing here (see empty_pairs).
@@ -30,7 +30,9 @@ def jaccard_pairs(items: DataFrame, threshold: float, kin: list[str] | None = No
     other = prefix.select(F.col("i").alias("j"), *kin, F.col("n").alias("m"), "t", F.col("k").alias("p"))
     # at a pair's first common token, what follows in both must be enough; its row keeps every pair that can qualify
     enough = 1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("p")) >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
-    near = prefix.join(other, [*kin, "t"]).where((F.col("i") < F.col("j")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & enough).select("i", "j").distinct()
+    apart = F.col("i") < F.col("j") if asks is None else F.col("i") != F.col("j")
+    mine = prefix if asks is None else prefix.join(asks, "i", "left_semi")
+    near = mine.join(other, [*kin, "t"]).where(apart & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & enough).select("i", "j").distinct()
     sets = base.select("i", "tokens")
     both = near.join(sets.withColumnRenamed("tokens", "x"), "i").join(sets.withColumnsRenamed({"i": "j", "tokens": "y"}), "j")
     both = both.select("i", "j", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("n_i"), F.size("y").alias("n_j"))
@@ -63,6 +65,20 @@ def contains_strictly(outer: tuple[Column, Column], inner: tuple[Column, Column]
     return F.coalesce(valid & (a <= c) & (d <= b) & ((a < c) | (d < b)), F.lit(False))
 
 
+def bare_pairs(bare: DataFrame, least: float, asks: DataFrame | None = None) -> DataFrame:
+    """(i, j) of functions (i, language, n) without semantic tokens whose lengths n allow a struct ratio of at least `least`.
+
+    Lengths fall into bands so wide that such a pair lies in one or in neighbouring ones; only bands meet.
+    """
+    width = -F.log(F.lit(max(least, 1e-3) / (2 - max(least, 1e-3))))  # log of the largest quotient of two lengths
+    band = F.floor(F.log("n") / (width + 1e-6)).cast("long")
+    own = bare.withColumn("band", band)
+    left = own if asks is None else own.join(asks, "i", "left_semi")
+    right = own.select(F.col("i").alias("j"), "language", F.col("n").alias("m"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    apart = F.col("i") < F.col("j") if asks is None else F.col("i") != F.col("j")
+    return left.join(right, ["language", "band"]).where(apart & (2 * F.least("n", "m") >= least * (F.col("n") + F.col("m")) - 1e-9)).select("i", "j")
+
+
 def overlaps(functions: DataFrame, *, min_tokens: int = 40, api_gate: float = 0.3, threshold: float = 0.55) -> DataFrame:
     """Pairs of similar functions of one language.
 
@@ -70,13 +86,8 @@ def overlaps(functions: DataFrame, *, min_tokens: int = 40, api_gate: float = 0.
     semantic tokens (or have none); containment, length ceiling and Jaccard are native, the ratio is last.
     """
     big = functions.where(F.size("tokens") >= min_tokens)
-    items = big.select(F.col("ordinal").alias("i"), "language", F.col("semantic").alias("tokens"))
-    pairs = jaccard_pairs(items, api_gate, ["language"]).select("i", "j", (F.col("common") / (F.col("n_i") + F.col("n_j") - F.col("common"))).alias("api"))
-    bare = big.where(F.size("semantic") == 0).select(F.col("ordinal").alias("i"), "language", F.size("tokens").alias("n"))
-    both = bare.join(bare.withColumnsRenamed({"i": "j", "n": "m"}), "language").where("i < j AND least(n, m) * 2.0 / (n + m) * 0.6 + 0.4 >= " + str(threshold))
-    pairs = pairs.union(both.select("i", "j", F.lit(1.0)))
     side = lambda p: big.select(*(F.col(c).alias(p + c) for c in ("ordinal", "file", "symbol", "tokens", "start_byte", "end_byte")))
-    rows = pairs.join(side("a_"), F.col("i") == F.col("a_ordinal")).join(side("b_"), F.col("j") == F.col("b_ordinal"))
+    rows = _api_pairs(big, api_gate, (threshold - API_WEIGHT) / STRUCT_WEIGHT).join(side("a_"), F.col("i") == F.col("a_ordinal")).join(side("b_"), F.col("j") == F.col("b_ordinal"))
     span = lambda p: (F.col(p + "start_byte"), F.col(p + "end_byte"))
     nested = (F.col("a_file") == F.col("b_file")) & (contains_strictly(span("a_"), span("b_")) | contains_strictly(span("b_"), span("a_")))
     rows = rows.where(~nested & (combined(ratio_ceiling(F.col("a_tokens"), F.col("b_tokens")), F.col("api")) >= threshold))
@@ -85,6 +96,23 @@ def overlaps(functions: DataFrame, *, min_tokens: int = 40, api_gate: float = 0.
     return rows.select("i", "j", "a_file", "a_symbol", "b_file", "b_symbol", "struct", "api", "combined")
 
 
+def _api_pairs(big: DataFrame, api_gate: float, least: float, asks: DataFrame | None = None) -> DataFrame:
+    """(i, j, api) of functions of one language that share enough semantic tokens, or have none and may reach the struct ratio."""
+    items = big.select(F.col("ordinal").alias("i"), "language", F.col("semantic").alias("tokens"))
+    pairs = jaccard_pairs(items, api_gate, ["language"], asks).select("i", "j", (F.col("common") / (F.col("n_i") + F.col("n_j") - F.col("common"))).alias("api"))
+    bare = big.where(F.size("semantic") == 0).select(F.col("ordinal").alias("i"), "language", F.size("tokens").alias("n"))
+    return pairs.union(bare_pairs(bare, least, asks).select("i", "j", F.lit(1.0)))
+
+
+def clone_matches(functions: DataFrame, asks: DataFrame, *, threshold: float = 0.95, api_gate: float = 0.6, min_tokens: int = 40) -> DataFrame:
+    """(i, j, struct) of every function that asks (i) and any other with a struct ratio, in this order, of at least threshold."""
+    big = functions.where(F.size("tokens") >= min_tokens)
+    tokens = lambda i, t: big.select(F.col("ordinal").alias(i), F.col("tokens").alias(t))
+    rows = _api_pairs(big, api_gate, threshold, asks).join(tokens("i", "x"), "i").join(tokens("j", "y"), "j")
+    rows = rows.where(ratio_ceiling(F.col("x"), F.col("y")) >= threshold).withColumn("struct", sequence_ratio("x", "y"))
+    return rows.where(F.col("struct") >= threshold).select("i", "j", "struct")
+
+
 def both_ways(pairs: DataFrame, score: Column) -> DataFrame:
     """(i, j, score) of every pair in both directions, from one evaluation of the pairs."""
     turned = F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j"), score.alias("score")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), score.alias("score")))
@@ -121,7 +149,7 @@ def nearest(vectors: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     def top(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["ask"]].sort_values("i"), frame[~frame["ask"]].sort_values("i")
         if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "score": []}).astype({"i": "int64", "j": "int64", "score": "float64"})
+            return pd.DataFrame({"i": [], "j": [], "score": []}).astype({"i": whole, "j": whole, "score": "float64"})
         ids, others = a["i"].to_numpy(), b["i"].to_numpy()
         x, y = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (a, b))
         score = x @ y.T
@@ -139,7 +167,9 @@ def nearest(vectors: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
         out = pd.DataFrame({"i": np.repeat(ids, m), "j": others[part].ravel(), "score": np.take_along_axis(score, part, 1).ravel()})
         return out[np.isfinite(out["score"])]
 
-    found = asks.union(data).groupBy("q", "d").applyInPandas(top, "i long, j long, score double")
+    kind = vectors.schema["i"].dataType
+    whole = "int64" if kind.simpleString() == "bigint" else "object"
+    found = asks.union(data).groupBy("q", "d").applyInPandas(top, f"i {kind.simpleString()}, j {kind.simpleString()}, score double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -161,6 +191,12 @@ def cache_misses(sources: DataFrame, cache: DataFrame, identity: str, dim: int)
     return sources.dropDuplicates(["sha"]).join(have, "sha", "left_anti")
 
 
+def cached_vectors(cache: DataFrame, identity: str, dim: int) -> DataFrame:
+    """(sha, vec): the valid vector of each source that was stored last under an identity; cache: (identity, sha, vec, stored_at)."""
+    good = cache.where((F.col("identity") == identity) & valid_vector(F.col("vec"), dim))
+    return good.groupBy("sha").agg(F.max_by("vec", "stored_at").alias("vec"))
+
+
 def encode(sources: DataFrame, function) -> DataFrame:
     """(sha, vec) of (sha, source); function maps a list of texts to an array of unit vectors, batch by batch."""
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloupe.plans import findings_queries, source_queries, tree_queries
+from sparkloupe.plans import findings_queries, more_queries, source_queries, tree_queries
 from sparkloupe.plans.findings_queries import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-_MODULES = (findings_queries, source_queries, tree_queries)
+_MODULES = (findings_queries, source_queries, tree_queries, more_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

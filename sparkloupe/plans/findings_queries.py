@@ -14,14 +14,14 @@ _RULES = (("text/licence", "warning"), ("text/email", "error"), ("text/separator
 
 
 def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_path, line, engine, rule, severity, style) of the text rules over every line of documents."""
+    """(file_path, source, line, engine, rule, severity, style) of the text rules over every line of documents."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").cast("string").alias("file_path"), F.posexplode(F.split("text", "\n")).alias("pos", "body"))
+    lines = docs.select(F.col("doc_id").cast("string").alias("file_path"), "source", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
     body = F.col("body")
     tests = (F.rlike(body, F.lit(text.LICENCE)), F.rlike(body, F.lit(text.EMAIL)), text.is_separator(body), text.is_untracked_todo(body))
     hits = F.filter(F.array(*(F.when(t, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for t, (r, s) in zip(tests, _RULES, strict=True))), lambda x: x.isNotNull())
-    found = lines.select("file_path", (F.col("pos") + 1).alias("line"), F.explode(hits).alias("hit"))
-    return found.select("file_path", "line", F.lit("code-quality").alias("engine"), "hit.rule", "hit.severity", (F.col("hit.severity") == "info").alias("style"))
+    found = lines.select("file_path", "source", (F.col("pos") + 1).alias("line"), F.explode(hits).alias("hit"))
+    return found.select("file_path", "source", "line", F.lit("code-quality").alias("engine"), "hit.rule", "hit.severity", (F.col("hit.severity") == "info").alias("style"))
 
 
 def diag_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,9 @@ def diag_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of each document source by the text rules: rules, severity policy, density-normalised score."""
     policy = spark.createDataFrame([("text/separator", "off"), ("text/licence", "error")], "rule string, override string")
-    found = ops.override_severity(ops.once_per_line(line_findings(spark, sf_dir)), policy)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "source")
-    files = docs.groupBy("source").agg(F.count("*").alias("n_files"))
-    return ops.health_score(found.join(docs, "file_path"), files, ["source"])
+    found = ops.override_severity(line_findings(spark, sf_dir), policy)  # a rule finds a line once already
+    files = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"))
+    return ops.health_score(found, files, ["source"])
 
 
 def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +60,8 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = event_findings(spark, sf_dir).where("ordinal % 2 = 0")
-    files = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path")).distinct().withColumn("n_files", F.lit(40))
+    found = event_findings(spark, sf_dir)
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path")).distinct().withColumn("n_files", F.lit(4000))
     return ops.health_score(found, files, ["file_path"])
 
 
@@ -145,8 +144,8 @@ SELECT ordinal, file_path, rule, line FROM f WHERE NOT EXISTS (SELECT 1 FROM d W
   AND (codes IS NULL OR list_contains(codes, f.rule) OR list_contains(codes, string_split(f.rule, '/')[-1])))""",
     "rule_engine_counts": f"WITH {FINDINGS} SELECT engine, count(*) AS n FROM f GROUP BY engine",
     "summary_counts": f"WITH {FINDINGS} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info, count(*) AS total, count(DISTINCT file_path) AS files FROM f",
-    "health_score": f"""WITH {FINDINGS}, s AS (SELECT file_path, sum({_COST})::DOUBLE AS cost, count(*) AS n FROM f WHERE ordinal % 2 = 0 GROUP BY file_path),
-d AS (SELECT DISTINCT file_path FROM f), j AS (SELECT file_path, n, coalesce(cost, 0) * sqrt(least(1.0::DOUBLE, coalesce(n, 0)::DOUBLE / 60)) AS scaled FROM d LEFT JOIN s USING (file_path)),
+    "health_score": f"""WITH {FINDINGS}, s AS (SELECT file_path, sum({_COST})::DOUBLE AS cost, count(*) AS n FROM f GROUP BY file_path),
+d AS (SELECT DISTINCT file_path FROM f), j AS (SELECT file_path, n, coalesce(cost, 0) * sqrt(least(1.0::DOUBLE, coalesce(n, 0)::DOUBLE / 4020)) AS scaled FROM d LEFT JOIN s USING (file_path)),
 k AS (SELECT file_path, {_SCORE} FROM j) SELECT file_path, score, {_LABEL} FROM k""",
     "exclude_fnmatch": "SELECT page_id, url FROM pages WHERE NOT coalesce(url GLOB '*spam-farm*' OR url GLOB 'https://blog.*/en/*' OR url GLOB '*[0-9].html' OR url GLOB '*?ref=[xy]', false)",
     "masked_text": """WITH p AS (SELECT page_id, html, string_split(html, '"') AS s FROM pages),

@@ -25,7 +25,7 @@ def snapshot_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def year(y: int, unknown: int) -> DataFrame:
         lines = F.when(F.col("o_orderkey") % 1000 == unknown, None).otherwise(F.floor("o_totalprice"))
-        return o.where(F.year("o_orderdate") == y).select(F.lit(1).cast("bigint").alias("files"), lines.cast("bigint").alias("lines"), (F.col("o_orderkey") % 7).cast("bigint").alias("functions"))
+        return o.where((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp"))).select(F.lit(1).cast("bigint").alias("files"), lines.cast("bigint").alias("lines"), (F.col("o_orderkey") % 7).cast("bigint").alias("functions"))
 
     return diff.growth(year(1995, -1), year(1996, 3), ["files", "lines", "functions"]).select("metric", *(F.col(c).cast("string").alias(c) for c in ("before", "after", "delta")))
 
@@ -64,9 +64,10 @@ def mutation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no order line refers to, other than the one at the part's own place."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 50).alias("file"), (F.col("p_partkey") % 7 + 1).cast("int").alias("line"))
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 40 AND l_suppkey % 4 = 0").select(F.col("l_partkey").alias("symbol"), (F.col("l_orderkey") % 50).alias("file"), F.col("l_linenumber").alias("line"))
+    """Definitions at twice the parts' keys, half of which lie above all parts: those that no order line refers to, other than
+    the one at the definition's own place."""
+    parts = table(spark, sf_dir, "part").select((2 * F.col("p_partkey")).alias("symbol"), (F.col("p_partkey") % 50).alias("file"), (F.col("p_partkey") % 7 + 1).cast("int").alias("line"))
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), (F.col("l_orderkey") % 50).alias("file"), F.col("l_linenumber").alias("line"))
     return reach.unreferenced(parts, used)
 
 
@@ -276,8 +277,8 @@ SELECT page_id, (SELECT max_by(prefix, length(prefix)) FROM x WHERE p.path = pre
     "mutation_gate": """WITH s AS (SELECT o_orderpriority || '/' || year(o_orderdate) AS path, CASE WHEN o_orderstatus = 'F' THEN 'k' WHEN o_orderstatus = 'O' THEN 's' WHEN o_orderkey % 5000 = 1 THEN 't' ELSE 'x' END AS s FROM orders),
 g AS (SELECT path, count(*) FILTER (s = 'k') AS killed, count(*) FILTER (s = 's') AS survived, count(*) FILTER (s = 't') AS intolerable, count(*) AS total FROM s GROUP BY path)
 SELECT *, (CASE WHEN killed + survived = 0 THEN 1.0 ELSE killed / (killed + survived) END < 0.5) OR intolerable > 0 OR killed + survived = 0 AS failed FROM g""",
-    "orphan_symbols": """SELECT p_partkey AS symbol, p_partkey % 50 AS file, (p_partkey % 7 + 1)::INT AS line FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 40 AND l_suppkey % 4 = 0
-AND l_partkey = p_partkey AND (l_orderkey % 50 <> p_partkey % 50 OR l_linenumber <> p_partkey % 7 + 1))""",
+    "orphan_symbols": """SELECT 2 * p_partkey AS symbol, p_partkey % 50 AS file, (p_partkey % 7 + 1)::INT AS line FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE
+l_partkey = 2 * p_partkey AND (l_orderkey % 50 <> p_partkey % 50 OR l_linenumber <> p_partkey % 7 + 1))""",
     "occurrence_index": r"""WITH n AS (SELECT unnest(['theble','ability','über','année','thand','der','qui']) AS name),
 l AS (SELECT doc_id, body, row_number() OVER (PARTITION BY doc_id) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body FROM documents)),
 l2 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),

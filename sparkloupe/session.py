@@ -23,3 +23,10 @@ def local_session(cpus: int | str | None = None, partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def use_shared_folder(spark: SparkSession) -> None:
+    """Names the folder of checkpoints where none is set: spark.checkpoint.dir, else one in the warehouse."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")

@@ -64,7 +64,8 @@ HISTORY = T.StructType([T.StructField(n, t) for n, t in (("timestamp", T.StringT
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     """Score records of JSON lines in file order (ordinal); blank and broken lines are left out, missing counts are 0."""
-    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("ordinal"))
+    place = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"))
+    lines = spark.read.text(path, wholetext=False).select("value", place.alias("ordinal"))  # the splits of a file in order, the files by their time
     parsed = lines.where(F.trim("value") != "").select("ordinal", F.from_json("value", HISTORY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
     good = parsed.where(F.col("r._broken").isNull() & F.col("r.score").isNotNull() & F.col("r.timestamp").isNotNull())
     zero = lambda c: F.coalesce(F.col("r." + c), F.lit(0)).alias(c)
@@ -76,5 +77,7 @@ def append_history(record: DataFrame, path: str) -> None:
 
 
 def store_vectors(vectors: DataFrame, identity: str, path: str) -> None:
-    """Appends (identity, sha, vec) to the cache."""
-    vectors.select(F.lit(identity).alias("identity"), "sha", "vec").write.mode("append").partitionBy("identity").parquet(path)
+    """Appends unit vectors as (identity, sha, vec, stored_at) to the cache, each source once; similarity.cached_vectors reads the last."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    good = vectors.where(F.abs(norm - 1) <= 1e-3).dropDuplicates(["sha"])
+    good.select(F.lit(identity).alias("identity"), "sha", "vec", F.unix_micros(F.current_timestamp()).alias("stored_at")).write.mode("append").partitionBy("identity").parquet(path)
