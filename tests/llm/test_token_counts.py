@@ -59,3 +59,12 @@ def test_whole_table(spark, sf, library):
     df = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, "", 3)], "doc_id long, text string, n_tokens int")
     assert sorted(r.n_tokens for r in tc.token_counts(df, PATH).collect()) == [0, 0, 2]
     assert tc.token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_words_that_defeat_polynomial_names(model, library):
+    """Thue-Morse words and their complements are counted apart, in one block and from the memory of pre-tokens."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word[:1024], word[:1024].translate(str.maketrans("ab", "ba")), f"x {word}"]
+    assert mine(model, texts) == [len(library.encode(t)) for t in texts]
