@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloupe.operators import diff, findings, pysources, similarity
+from sparkloupe.operators.rules import MAX_FILE_LINES, MAX_FUNCTION_LINES
 from sparkloupe.plans import fixture
 from sparkloupe.plans.common import EVENT_FINDINGS_SQL, event_findings, table
 from sparkloupe.plans.tree_queries import _rows
@@ -141,15 +142,41 @@ def py_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(bad.withColumn("failed", F.lit(1)), "path", "left").agg(F.count("*").alias("files"), F.count("failed").alias("failed"))
 
 
+#: A function of one line more than the limit, one of the limit, a file of one line more than the limit, and two dynamic imports.
+SIZE_FILES = {
+    "src/long.py": "def wide(a):\n" + "".join(f"    a = a * {k}\n" for k in range(2, MAX_FUNCTION_LINES + 2)) + "    return a\n",
+    "src/fits.py": "def fits(a):\n" + "".join(f"    a = a * {k}\n" for k in range(2, MAX_FUNCTION_LINES + 1)) + "    return a\n",
+    "src/large.py": "".join(f"V{k} = {k}\n" for k in range(MAX_FILE_LINES + 1)),
+    "src/dyn.py": "import importlib\n\nm = importlib.import_module(input())\nn = __import__(m.name)\n",
+}
+_SIZE_RULES = ("code-quality/function-too-long", "code-quality/file-too-large", "security/dynamic-import")
+
+
+def py_size_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of functions and files, each on its edge, and dynamic imports."""
+    files = spark.createDataFrame(list(SIZE_FILES.items()), "path string, source string")
+    return pysources.kept_findings(pysources.parse(files)).where(F.col("rule").isin(*_SIZE_RULES)).select("file_path", "rule", "line")
+
+
+def py_dead_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead symbols as findings: orphaned and test-only ones."""
+    files = fixture.files(spark)
+    entries = spark.createDataFrame([("app.util", "run")], "dotted string, symbol string")
+    dead = pysources.dead_symbols(files, pysources.parse(files), entries)
+    return pysources.dead_findings(dead.where("file = 'src/app/core.py'")).select("rule", "file_path", "detail")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         py_overlaps, py_clones, py_by_language, py_masked, py_comments, path_roots, mapped_tests, dead_report_lines, path_sets, terminal_order, combined_score, sequence_ratios, encoded_texts, cached_vectors, py_fingerprints,
-        py_coverage,
+        py_coverage, py_size_rules, py_dead_findings,
     )
 }
 
 SQL = {
+    "py_size_rules": _rows([("src/long.py", "code-quality/function-too-long", 1), ("src/large.py", "code-quality/file-too-large", 1), ("src/dyn.py", "security/dynamic-import", 3), ("src/dyn.py", "security/dynamic-import", 4)], "file_path, rule, line"),
+    "py_dead_findings": _rows([("reachability/dead-symbol", "src/app/core.py", f"{kind} {name}") for name, kind in fixture.DEAD if kind in ("orphaned", "test-only")], "rule, file_path, detail"),
     "py_overlaps": _rows([("alpha", "beta", True, True), ("alpha", "gamma", False, False), ("beta", "gamma", False, False)], "a_symbol, b_symbol, same_struct, same_api"),
     "py_clones": _rows([("src/b.py", "beta", "src/a.py", "alpha")], "a_file, a_symbol, b_file, b_symbol"),
     "py_by_language": _rows([("python", 4, 3)], "language, functions, eligible"),
