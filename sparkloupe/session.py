@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str | None = None, partitions: int = 8, app: str = "sparkloupe") -> SparkSession:
@@ -25,8 +26,22 @@ def local_session(cpus: int | str | None = None, partitions: int = 8, app: str =
     )
 
 
-def use_shared_folder(spark: SparkSession) -> None:
-    """Names the folder of checkpoints where none is set: spark.checkpoint.dir, else one in the warehouse."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of intermediate tables: spark.checkpoint.dir, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: cuts lineage, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._sparkloupe_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that no later plan reads."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sparkloupe_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -61,9 +61,20 @@ def test_strong_components(spark):
             reach_ |= {(a, b) for a, x in list(reach_) if x == k for y, b in list(reach_) if y == k}
         want = {tuple(sorted({b for b in map(str, range(n)) if (a, b) in reach_ and (b, a) in reach_} | {a})) for a in map(str, range(n))}
         assert [tuple(x) for x in graph.strong_components([e for e in edges if e[0] != e[1]])] == sorted(x for x in want if len(x) > 1)
-    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a"), ("b", "y"), ("y", "z")], "src string, dst string")
-    spark.sparkContext.setCheckpointDir("/tmp/sparkloupe-test-checkpoint")
+    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a"), ("b", "y"), ("y", "z"), ("z", None), ("z", "z"), ("a", "b")], "src string, dst string")
     assert [r.key for r in graph.cycles(df, driver_edges=3).collect()] == ["a <-> b"]
+    assert graph.cycles(df.where("src = dst")).isEmpty() and graph.cycles(df.where("src = dst"), driver_edges=0).isEmpty()
+
+
+def test_components_beyond_the_driver(spark):
+    """More edges than the driver takes, the last few within its bound: many small graphs, two rings and a chain into one."""
+    rng = random.Random(5)
+    edges = {(f"g{k}-{rng.randrange(7)}", f"g{k}-{rng.randrange(7)}") for k in range(60) for _ in range(9)}
+    ring = [f"r{k:03d}" for k in range(40)]
+    edges |= set(zip(ring, ring[1:] + ring[:1], strict=True)) | {(f"c{k:03d}", f"c{k + 1:03d}") for k in range(40)} | {("c000", "r000")}
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = sorted(list(r.members) for r in graph.cycles(df, driver_edges=20).collect())
+    assert got == graph.strong_components([e for e in edges if e[0] != e[1]])
 
 
 def test_classify_truth_table(spark):
