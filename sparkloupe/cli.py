@@ -34,7 +34,7 @@ class Run:
         roots = paths or [r for r in self.config.source_roots if os.path.exists(os.path.join(self.root, r))] + ([r for r in self.config.test_roots if os.path.exists(os.path.join(self.root, r))] if tests else [])
         if not roots:
             raise FileNotFoundError("no source root exists")
-        found = files.tree(self.spark, self.root, roots, suffixes, keep_tests=bool(paths) or tests, test_roots=tuple(self.config.test_roots))
+        found = files.tree(self.spark, self.root, roots, suffixes, keep_tests=bool(paths) or tests, test_roots=tuple(self.config.test_roots), explicit=bool(paths))
         return files.without(found, self.config.exclude)
 
     def parse(self, tree: DataFrame) -> DataFrame:
@@ -45,34 +45,51 @@ class Run:
         entries = self.spark.createDataFrame(config.entry_points(os.path.join(self.root, "pyproject.toml")), "dotted string, symbol string")
         return pysources.dead_symbols(whole, self.parse(whole), entries, orphans_block, tuple(self.config.test_roots))
 
-    def scan(self) -> tuple[DataFrame, int, int, str]:
-        """Findings, number of files, score and label."""
+    def sources(self, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+        """The files of a scan: targets, else changed runtime files below the source roots, else these roots."""
         args = self.args
-        if args.changed:
-            names = files.changed_files(self.root, args.compare_branch)
-            tree = self.tree(names) if names else self.spark.createDataFrame([], "path string, source string")
-        else:
-            tree = self.tree(args.paths)
-        tree = tree.persist()
-        n = tree.count()
+        if not args.changed:
+            return self.tree(args.paths, suffixes=suffixes)
+        roots = [r.rstrip("/") for r in self.config.source_roots]
+        names = [p for p in files.changed_files(self.root, args.compare_branch, suffixes) if any(r == "." or p == r or p.startswith(r + "/") for r in roots)]
+        found = files.without(files.tree(self.spark, self.root, names, suffixes, explicit=True), self.config.exclude)
+        return found.where(~text.is_test_path(F.col("path"), tuple(self.config.test_roots)))
+
+    def scan(self) -> tuple[DataFrame, int, int, str, dict[str, int] | None]:
+        """Findings, number of files, score, label, and the files of each language where a linter's report covers more than one."""
+        args = self.args
+        tree = self.sources().persist()
+        n, coverage = tree.count(), None
+        if args.lint_report:
+            scripts = sorted(r.path for r in self.sources(jssource.SUFFIXES).select("path").collect())
+            with open(args.lint_report, encoding="utf-8") as f:
+                lint = reports.lint_report(self.spark, f.read(), scripts)
+            coverage = {"python": n, "javascript_typescript": len(scripts)} if scripts else None
+            n += len(scripts)
         if not n and not args.changed:
-            raise ValueError("no Python files found; check the paths and source roots")
+            raise ValueError("no source files found; check the paths and source roots")
         parsed = self.parse(tree)
         found = pysources.kept_findings(parsed).select("file_path", "rule", "line", "detail", "engine", "severity", "category", "style", "ordinal")
+        place = F.concat(F.col("place"), F.lit("\x01"), F.lpad(F.col("ordinal").cast("string"), 9, "0"))  # the order of files, then in each
+        found = found.join(tree.select(F.col("path").alias("file_path"), F.col("ordinal").alias("place")), "file_path").withColumn("ordinal", place).drop("place")
         dead = pysources.dead_findings(self.dead()).join(tree.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-        dead = dead.join(F.broadcast(pysources.rule_dimension(parsed)), "rule").withColumn("ordinal", F.lit(1 << 30))
-        found = findings.override_severity(found.unionByName(dead), self.config.overrides(self.spark)).persist()
+        dead = dead.join(F.broadcast(pysources.rule_dimension(parsed)), "rule").withColumn("ordinal", F.lit("\uffff"))
+        found = found.unionByName(dead)
+        if args.lint_report:
+            late = F.concat(F.lit("\uffff"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+            found = found.unionByName(lint.select("file_path", "rule", "line", F.col("message").alias("detail"), "engine", "severity", F.lit("JavaScript quality").alias("category"), F.lit(False).alias("style"), late.alias("ordinal")))
+        found = findings.override_severity(found, self.config.overrides(self.spark)).persist()
         total = self.spark.createDataFrame([(n,)], "n_files int")
         row = findings.health_score(found, total, [], self.config.weights, self.config.smoothing).first()
         label = "Healthy" if found.isEmpty() else "Healthy" if row.score >= self.config.healthy else "Needs Work" if row.score >= self.config.needs_work else "Critical"
-        return found, n, row.score, label
+        return found, n, row.score, label, coverage
 
 
 def scan(args: argparse.Namespace) -> int:
     run = Run(args)
-    found, n, score, label = run.scan()
+    found, n, score, label, coverage = run.scan()
     if args.json:
-        print(sinks.to_json(found, score, label, n))
+        print(sinks.to_json(found, score, label, n, coverage))
     elif args.sarif:
         print(sinks.to_sarif(found))
     elif args.prompt:
@@ -89,8 +106,8 @@ def scan(args: argparse.Namespace) -> int:
 
 def ci(args: argparse.Namespace) -> int:
     run = Run(args)
-    found, n, score, label = run.scan()
-    print(sinks.to_json(found, score, label, n) if args.json else sinks.to_terminal(found, score, label))
+    found, n, score, label, coverage = run.scan()
+    print(sinks.to_json(found, score, label, n, coverage) if args.json else sinks.to_terminal(found, score, label))
     floor = args.fail_below if args.fail_below is not None else run.config.fail_below or 0
     return int(findings.gate_failed(found) or score < floor)
 
@@ -287,9 +304,10 @@ def mutation_targets(args: argparse.Namespace) -> int:
 
 
 def mutation_gate(args: argparse.Namespace) -> int:
-    """Gates the results of a mutation run, JSON lines of (mutant, status)."""
+    """Gates the results of a mutation run: its metadata files, or a report of JSON lines of (mutant, status)."""
     run = Run(args)
-    rows = run.spark.read.schema("mutant string, status string").json(args.report).withColumn("all", F.lit(1))
+    rows = run.spark.read.schema("mutant string, status string").json(args.report) if args.report else reports.mutation_metadata(run.spark, os.path.join(run.root, "mutants"))
+    rows = rows.withColumn("all", F.lit(1))
     for r in diff.mutation_gate(rows, ["all"], args.floor).collect():
         print(f"killed {r.killed}, survived {r.survived}, other {r.intolerable} of {r.total}: {'FAILED' if r.failed else 'passed'}")
         return int(r.failed)
@@ -318,7 +336,7 @@ def parser() -> argparse.ArgumentParser:
     for name, function in (("changed-python-files", changed_python_files), ("mypy-targets", changed_python_files), ("mutation-targets", mutation_targets)):
         add(name, function, "branch", "null")
     p = add("run-mutmut-changed", mutation_gate, "branch")
-    p.add_argument("--report", required=True)
+    p.add_argument("--report", default=None, help="JSON lines; else the metadata below mutants/")
     p.add_argument("--floor", type=float, default=0.70)
     add("runtime-consumer-check", runtime_consumer_check, "branch")
     add("vulture-changed", dead_code_changed, "branch").add_argument("--report", required=True)
@@ -328,7 +346,10 @@ def parser() -> argparse.ArgumentParser:
     p = add("scan", scan, "paths", "branch", "changed", "json")
     for flag in ("sarif", "prompt", "no-history"):
         p.add_argument(f"--{flag}", action="store_true")
-    add("ci", ci, "paths", "branch", "changed", "json").add_argument("--fail-below", type=int, default=None)
+    p.add_argument("--lint-report", default=None, help="a JavaScript linter's reply over the same files")
+    p = add("ci", ci, "paths", "branch", "changed", "json")
+    p.add_argument("--fail-below", type=int, default=None)
+    p.add_argument("--lint-report", default=None, help="a JavaScript linter's reply over the same files")
     add("rules", list_rules)
     add("security", security, "paths")
     add("trend", trend).add_argument("--limit", type=int, default=20)

@@ -47,8 +47,8 @@ def matches_any_glob(path: Column, globs: list[str]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def is_skipped(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_PARTS)))
+def is_skipped(path: Column, parts: tuple[str, ...] = SKIPPED_PARTS) -> Column:
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, parts)))
 
 
 def is_test_path(path: Column, test_roots: tuple[str, ...] = ("tests",)) -> Column:

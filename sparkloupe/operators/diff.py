@@ -63,6 +63,11 @@ def below(paths: DataFrame, prefixes: DataFrame, keep: bool = True) -> DataFrame
     return paths.join(found, "path", "left_semi" if keep else "left_anti")
 
 
+def unselected(paths: DataFrame, prefixes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Paths below the prefixes that are no targets (path): what a mutation run has to leave alone."""
+    return below(paths, prefixes).join(targets.select("path"), "path", "left_anti")
+
+
 def test_roots(paths: DataFrame, mapping: DataFrame) -> DataFrame:
     """(path, tests) by the longest mapped prefix (prefix, tests); any path without one leaves tests null for all,
     as only the whole suite then covers the change."""

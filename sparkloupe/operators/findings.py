@@ -22,7 +22,7 @@ def mapped(column: Column, values: dict, default) -> Column:
 
 def override_severity(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replaces severities by rule; `off` drops the finding.  overrides: (rule, override), a row per configured rule."""
-    joined = findings.join(F.broadcast(overrides), "rule", "left")
+    joined = findings.join(overrides, "rule", "left")
     kept = joined.where(F.coalesce("override", F.lit("")) != "off")
     return kept.withColumn("severity", F.coalesce("override", "severity")).drop("override")
 

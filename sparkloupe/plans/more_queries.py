@@ -67,6 +67,13 @@ def path_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.below(pages, hosts).select("page_id", "path")
 
 
+def unselected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls below the hosts of some pages, without the urls of these pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    some = pages.where("page_id < 40")
+    return diff.unselected(pages, some.select(F.substring_index("path", "/", 1).alias("prefix")), some).select("page_id", "path")
+
+
 def mapped_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests by the longest mapped prefix; here every path has one."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("src/"), F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)).alias("path"))
@@ -169,7 +176,7 @@ def py_dead_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        py_overlaps, py_clones, py_by_language, py_masked, py_comments, path_roots, mapped_tests, dead_report_lines, path_sets, terminal_order, combined_score, sequence_ratios, encoded_texts, cached_vectors, py_fingerprints,
+        py_overlaps, py_clones, py_by_language, py_masked, py_comments, path_roots, unselected_paths, mapped_tests, dead_report_lines, path_sets, terminal_order, combined_score, sequence_ratios, encoded_texts, cached_vectors, py_fingerprints,
         py_coverage, py_size_rules, py_dead_findings,
     )
 }
@@ -184,6 +191,8 @@ SQL = {
     "py_comments": _rows([(1, 0, False), (2, 7, True)], "line, col, inline"),
     "path_roots": r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages), h AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:2], '/') AS prefix FROM p WHERE page_id < 40)
 SELECT page_id, path FROM p WHERE EXISTS (SELECT 1 FROM h WHERE path = prefix OR starts_with(path, prefix || '/'))""",
+    "unselected_paths": r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path FROM p WHERE string_split(path, '/')[1] IN (SELECT string_split(path, '/')[1] FROM p WHERE page_id < 40) AND path NOT IN (SELECT path FROM p WHERE page_id < 40)""",
     "mapped_tests": r"""SELECT page_id, CASE regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'all' END AS tests FROM pages""",
     "dead_report_lines": """SELECT 'src/n' || s_nationkey || '.py' AS file, (s_suppkey % 90 + 1)::INT AS line, 'unused function ' || chr(39) || s_name || chr(39) AS message, (s_suppkey % 41 + 60)::INT AS confidence FROM supplier WHERE s_suppkey % 7 <> 0""",
     "path_sets": """WITH a AS (SELECT c_nationkey AS n FROM customer WHERE c_acctbal > 9000), b AS (SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 2000)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloupe.sources import files
+
 _DEAD_CODE_LINE = r"^(.+?):([0-9]+): (.+?) \(([0-9]+)% confidence(?:, [0-9]+ lines?)?\)\s*$"
 
 
@@ -59,6 +61,26 @@ def lint_report(spark: SparkSession, reply: str, files: list[str], sources: dict
     return spark.createDataFrame(rows, "file_path string, engine string, rule string, severity string, message string, line int, col int")
 
 
+#: What the exit codes of a mutation run stand for; others are suspicious, no code is a mutant not checked.
+EXIT_STATUS = {
+    0: "survived", 1: "killed", 2: "check_was_interrupted_by_user", 3: "killed", 5: "no_tests", 24: "timeout", 33: "no_tests", 34: "skipped", 35: "suspicious", 36: "timeout", 152: "timeout", 255: "timeout",
+    -24: "timeout", -11: "segfault", -9: "segfault",
+}
+
+
+def mutation_metadata(spark: SparkSession, root: str, statuses: dict[int, str] | None = None) -> DataFrame:
+    """(path, mutant, status) of the metadata files (`*.meta`, JSON with exit_code_by_key) below a mutation run's folder.
+
+    A file that is no JSON, or without mutants, has no rows.
+    """
+    metas = files.tree(spark, root, ["."], (".meta",))
+    codes = F.from_json("source", "exit_code_by_key map<string,int>")["exit_code_by_key"]
+    rows = metas.select(F.regexp_replace("path", r"\.meta$", "").alias("path"), F.explode(codes).alias("mutant", "code"))
+    known = F.create_map(*(F.lit(x) for pair in (statuses or EXIT_STATUS).items() for x in pair))
+    status = F.when(F.col("code").isNull(), "not_checked").otherwise(F.coalesce(F.try_element_at(known, "code"), F.lit("suspicious")))
+    return rows.select("path", "mutant", status.alias("status"))
+
+
 HISTORY = T.StructType([T.StructField(n, t) for n, t in (("timestamp", T.StringType()), ("score", T.LongType()), ("label", T.StringType()), ("errors", T.LongType()), ("warnings", T.LongType()), ("info", T.LongType()), ("files", T.LongType()), ("_broken", T.StringType()))])
 
 
