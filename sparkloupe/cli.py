@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloupe.functions import jssource, text
 from sparkloupe.operators import diff, findings, graph, pysources, rules, similarity
-from sparkloupe.session import local_session
+from sparkloupe.session import local_session, release
 from sparkloupe.sinks import reports as sinks
 from sparkloupe.sources import config, files, reports
 
@@ -374,6 +374,9 @@ def main(arguments: list[str] | None = None) -> int:
     except (OSError, ValueError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
+    finally:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
 
 
 if __name__ == "__main__":

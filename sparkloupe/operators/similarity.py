@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloupe.session import stored
+
 STRUCT_WEIGHT, API_WEIGHT = 0.6, 0.4
 
 
@@ -17,25 +19,27 @@ def jaccard_pairs(items: DataFrame, threshold: float, kin: list[str] | None = No
     """(i, j, common, n_i, n_j) of pairs i < j, or with asks (i) of pairs of an i that asks and any other j, with Jaccard similarity of at least threshold; items: (i, tokens, kin...).
 
     Exact: pairs meet at shared tokens of their prefixes under one rarity order, and a pair is then counted
-    by intersecting its two sets.  Items without tokens match nothing here (see empty_pairs).
+    by intersecting its two ordered sets, which are written once to the shared folder.  Items without tokens match
+    nothing here (see bare_pairs); i is a key of items.
     """
     kin = kin or []
     base = items.select("i", *kin, F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
     rows = base.select("i", *kin, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    frequency = rows.groupBy("t").agg(F.count("*").alias("f"))
-    order = F.row_number().over(Window.partitionBy("i").orderBy("f", "t"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = rows.join(frequency.where("f > 1"), "t", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("k", order)
-    prefix = prefix.where((F.col("k") <= keep) & (F.col("f") > 1)).select("i", *kin, "n", "t", "k")
+    # a token of one item alone can be shared by none and only counts in n; the others go from rare to frequent
+    shared = rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = F.array_sort(F.collect_list(F.struct("f", "t")))["t"].alias("own")
+    sets = stored(rows.join(shared, "t").groupBy("i", *kin, "n").agg(ordered), "jaccard-sets")
+    alone = F.col("n") - F.size("own")
+    keep = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    prefix = sets.select("i", *kin, "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), keep)).alias("k", "t")).withColumn("k", F.col("k") + 1 + F.col("alone")).drop("alone")
     other = prefix.select(F.col("i").alias("j"), *kin, F.col("n").alias("m"), "t", F.col("k").alias("p"))
     # at a pair's first common token, what follows in both must be enough; its row keeps every pair that can qualify
     enough = 1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("p")) >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
     apart = F.col("i") < F.col("j") if asks is None else F.col("i") != F.col("j")
     mine = prefix if asks is None else prefix.join(asks, "i", "left_semi")
     near = mine.join(other, [*kin, "t"]).where(apart & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & enough).select("i", "j").distinct()
-    sets = base.select("i", "tokens")
-    both = near.join(sets.withColumnRenamed("tokens", "x"), "i").join(sets.withColumnsRenamed({"i": "j", "tokens": "y"}), "j")
-    both = both.select("i", "j", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("n_i"), F.size("y").alias("n_j"))
+    both = near.join(sets.select("i", F.col("n").alias("n_i"), F.col("own").alias("x")), "i").join(sets.select(F.col("i").alias("j"), F.col("n").alias("n_j"), F.col("own").alias("y")), "j")
+    both = both.select("i", "j", F.size(F.array_intersect("x", "y")).alias("common"), "n_i", "n_j")
     return both.where(F.col("common") >= threshold * (F.col("n_i") + F.col("n_j") - F.col("common")) - 1e-9)
 
 

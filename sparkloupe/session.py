@@ -31,17 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
 
 
+#: Folders that stored() wrote and nothing has deleted yet.
+_PATHS: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._sparkloupe_path = path
+    _PATHS.append(path)
     return back
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of stored() that no later plan reads."""
     for df in tables:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sparkloupe_path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, df._sparkloupe_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of stored(); for a caller that has written or read its results."""
+    for path in [*_PATHS]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _PATHS.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

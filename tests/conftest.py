@@ -14,11 +14,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from sparkloupe.session import local_session
+    from sparkloupe.session import local_session, release
 
     session = local_session(cpus=4, partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
