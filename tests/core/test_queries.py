@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -44,3 +45,18 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_overlap_ratio_by_brute_force(spark, sf):
+    """SQL has no such ratio: every pair of documents that shares enough words, compared in Python."""
+    texts = {r.doc_id: r.text.split(" ") for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").collect()}
+    sets = {k: set(w) - {""} for k, w in texts.items()}
+    want = {}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and len(a & b) >= 0.6 * len(a | b) - 1e-9:
+                ratio = SequenceMatcher(None, texts[i], texts[j], autojunk=False).ratio()
+                if ratio >= 0.95:
+                    want[i, j] = round(ratio, 3)
+    got = {(r.i, r.j): r.ratio for r in driver.queries()["overlap_ratio"](spark, sf).collect()}
+    assert got == pytest.approx(want) and got
