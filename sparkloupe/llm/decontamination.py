@@ -4,9 +4,8 @@
    documents of each cell.  Cells of more than STOP of the documents weigh nothing, unless an item needs them.
 2. Decomposition.  The randomised singular value decomposition (Halko, Martinsson, Tropp 2011) of the TF-IDF matrix
    of passages, SPAN words at every other UNIT: every task multiplies its passages with a random matrix and back,
-   the sums are added and made orthonormal (the range), a second pass projects the passages on it, and the small
-   matrix of the projections gives singular values and vectors.  It is fitted on the passages of about FIT
-   documents (an index may be fitted on a bounded sample; every passage of every document is then searched), and
+   the sums are added and made orthonormal (the range), and Nyström's method (their section 5.4) takes singular
+   values and vectors in it from the same sums.  It is fitted on every passage of every document, in one pass, and
    on the items themselves as rows that carry ITEM_SHARE of its energy.
 3. Search.  Items are cut into pieces of at most PIECE words.  One pass over the documents projects every passage,
    of about a piece's length, and takes as candidates the pieces whose cosine in the latent space is at least
@@ -42,10 +41,9 @@ BLOCK = 1 << 16
 CELL_BITS = 13
 CELLS = 1 << CELL_BITS
 COMPONENTS = 192
-#: Documents whose passages the decomposition is fitted on, about; chosen by hash, all where there are fewer.
-FIT = 20_000
-#: Tasks that make the decomposition; each sends one matrix.
+#: Tasks that make the decomposition, at most, unless these would have more documents than FIT; each sends one matrix.
 FIT_TASKS = 16
+FIT = 20_000
 #: Part of the fitted matrix's energy that the items' own rows have.
 ITEM_SHARE = 0.1
 #: Words of a unit; passages begin at every second unit.
@@ -60,6 +58,7 @@ SHARED = 0.25
 SIMILAR = 0.6
 LEAST = 8
 _PART = 256
+_MANY = 64
 #: Cosines held at once.
 _SCORES = 1 << 22
 
@@ -164,6 +163,23 @@ def _unit_sums(basis: np.ndarray, cell: np.ndarray, unit: np.ndarray, units: int
     return out
 
 
+def _cell_sums(image: np.ndarray, at: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, and for each the sum of the image's rows at its places.  One step for the n-th places of all cells."""
+    order = np.argsort(cell, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    size = np.diff(np.append(edge, len(order)))
+    by = np.argsort(-size, kind="stable")
+    at, edge, size = at[order], edge[by], size[by]
+    out = np.zeros((len(edge), image.shape[1]), np.float32)
+    many = int(np.searchsorted(-size, -_MANY))  # cells of more places are summed one by one
+    for k in range(many):
+        out[k] = image[at[edge[k] : edge[k] + size[k]]].sum(0)
+    for n in range(int(size[many]) if many < len(size) else 0):
+        k = int(np.searchsorted(-size, -n))
+        out[many:k] += image[at[edge[many:k] + n]]
+    return cell[order][edge], out
+
+
 class Passages:
     """The units of some documents in a space of so many dimensions, and the passages made of them."""
 
@@ -228,61 +244,55 @@ def document_counts(docs: DataFrame) -> np.ndarray:
 
 def latent_basis(docs: DataFrame, items: list[Items], weight: np.ndarray, documents: int, components: int = COMPONENTS) -> np.ndarray:
     """The right singular vectors of the passages' weighted matrix, a row for each cell."""
-    part = min(1.0, FIT / max(1, documents))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) < int(1_000_000 * part)).select("text").repartition(FIT_TASKS)
+    texts = docs.select("text").coalesce(max(FIT_TASKS, -(-documents // FIT)))
+
+    def random() -> np.ndarray:
+        return np.random.default_rng(7).standard_normal((CELLS, components)).astype(np.float32)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         """The matrix times a random one and back; the last row begins with the matrix's energy."""
-        start = np.random.default_rng(7).standard_normal((CELLS, components)).astype(np.float32) * weight[:, None]
+        start = random() * weight[:, None]
         out = np.zeros((CELLS + 1, components), np.float32)
         for batch in batches:
             for _, words in _word_blocks(batch.column(0)):
                 p = Passages(words, weight, start)
                 if not len(p.heavy):
                     continue
-                image = np.zeros_like(p.sums)
-                image[p.start] = p.long()
-                # a unit is in the passage that begins at it or just before it, and in the one two units earlier
-                even = (p.unit - p.first[words.doc[p.heavy]]) // 2 * 2 + p.first[words.doc[p.heavy]]
-                both = image[even]
-                inner = even - 2 >= p.first[words.doc[p.heavy]]
-                both[inner] += image[even[inner] - 2]
-                cell = p.cell[p.heavy]
-                order = np.argsort(cell, kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-                out[cell[order][edge]] += np.add.reduceat(both[order] * weight[cell[order], None], edge, axis=0)
-                out[CELLS, 0] += float(((1 + inner) * weight[cell] ** 2).sum())
+                # a word is in the passage that begins at its unit or just before it, and in the one before that
+                image = p.long()
+                inner = np.flatnonzero(p.place)
+                both = image.copy()
+                both[inner] += image[inner - 1]
+                doc, cell = words.doc[p.heavy], p.cell[p.heavy]
+                nth = words.place[p.heavy] // (2 * UNIT)
+                own, sums = _cell_sums(both, np.searchsorted(p.doc, np.arange(len(p.count)))[doc] + nth, cell)
+                out[own] += sums
+                out[CELLS, 0] += float(((1 + (nth > 0)) * weight[cell] ** 2).sum())
+        out[:CELLS] *= weight[:, None]
         return out
 
     def rows(matrix: np.ndarray) -> np.ndarray:
         """The items' rows times a matrix."""
         return np.array([(weight[c := cells(w), None] * matrix[c]).sum(0) for block in items for _, w in block.pieces]).reshape(-1, matrix.shape[1])
 
-    found = _summed(sample, (CELLS + 1, components), ranged)
+    found = _summed(texts, (CELLS + 1, components), ranged)
     spread, energy = found[:CELLS], found[CELLS, 0]
     own = sum(float((weight[cells(w)] ** 2).sum()) for block in items for _, w in block.pieces)
     scale = ITEM_SHARE * energy / own if own and energy else 1.0
-    image = rows(np.random.default_rng(7).standard_normal((CELLS, components)).astype(np.float32))
+    start = random()
+    image = rows(start)
     at = 0
     for block in items:
         for _, w in block.pieces:
             c = cells(w)
             np.add.at(spread, c, scale * weight[c, None] * image[at])
             at += 1
-    base = np.linalg.qr(spread)[0].astype(np.float32)
-
-    def small(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((components, components))
-        ready = base * weight[:, None]
-        for batch in batches:
-            for _, words in _word_blocks(batch.column(0)):
-                projected = Passages(words, weight, ready).long()
-                out += projected.T @ projected
-        return out
-
-    gram = _summed(sample, (components, components), small)
-    image = rows(base)
-    values, vectors = np.linalg.eigh(gram + scale * image.T @ image)
+    # the small matrix is the random matrix times the range: no second pass
+    base, rest = np.linalg.qr(spread)
+    values, vectors = np.linalg.eigh(start.T @ spread)
+    kept = values > 1e-7 * max(1e-30, values[-1])
+    half = rest @ (vectors[:, kept] / np.sqrt(values[kept]))
+    values, vectors = np.linalg.eigh(half @ half.T)
     kept = values[::-1] > 1e-9 * max(1e-30, values[-1])
     return (base @ vectors[:, ::-1][:, kept]).astype(np.float32)
 

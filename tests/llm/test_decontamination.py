@@ -172,3 +172,20 @@ def test_basis_is_a_singular_value_decomposition(spark, planted):
     kept = np.linalg.norm(exact @ basis[weight > 0]) ** 2
     best = (np.linalg.svd(exact, compute_uv=False)[:12] ** 2).sum()
     assert 0.8 * best < kept <= best * 1.001
+
+
+def test_basis_is_fitted_on_every_document(spark):
+    """Twelve subjects, each of one long document among 40,000 short ones without doc_id or with one they share: the
+    basis keeps all of them."""
+    subjects = [[f"subject{k}x{j}" for j in range(10)] for k in range(12)]
+    rng = random.Random(6)
+    rows = [(d, " ".join(rng.choice(subjects[d]) for _ in range(2000)) if d < 12 else " ".join(rng.choice(WORDS) + rng.choice("abcd") for _ in range(3))) for d in range(40_000)]
+    items = [dc.Items([(1, text(rng, 20))])]
+    for ids in (lambda d: d, lambda d: 17 if d % 2 else None):
+        df = spark.createDataFrame([(ids(d), t) for d, t in rows], "doc_id long, text string")
+        weight = dc.weights(dc.document_counts(df), len(rows), items)
+        basis = dc.latent_basis(df, items, weight, len(rows), components=20)
+        for words in subjects:
+            row = np.zeros(dc.CELLS, np.float32)
+            np.add.at(row, at := dc.cells(dc.word_names(" ".join(words).encode())), weight[at])
+            assert np.linalg.norm(row @ basis) > 0.9 * np.linalg.norm(row)
