@@ -120,3 +120,17 @@ def test_rows_without_and_with_one_doc_id(spark, sf):
     assert sorted(str(r.doc_id) for r in near) == ["7", "None", "None"]
     mixed = cp.mixing(spark, docs, sf).collect()
     assert len(mixed) <= 6 and len({r.n_chars for r in mixed}) == len(mixed) and sum(r.taken for r in mixed) == 720
+
+
+def test_decontamination_reads_every_document(spark, sf, monkeypatch):
+    """Each pass of the stage that makes counts or the basis has all of 30,000 documents."""
+    seen, summed = [], dc._summed
+
+    def counted(found, *args):
+        seen.append(found.count())
+        return summed(found, *args)
+
+    monkeypatch.setattr(dc, "_summed", counted)
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89, ' u', id % 83) AS text")
+    assert cp.decontamination(spark, docs, sf).count() == 30_000
+    assert len(seen) >= 2 and set(seen) == {30_000}
