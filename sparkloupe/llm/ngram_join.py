@@ -377,6 +377,11 @@ def _shared_tokens(sign: DataFrame, copies: DataFrame) -> DataFrame:
     return rare.union(hot).select("id", "token", "size", F.col("pivot.p").alias("p"))
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same vertices as the ones that the components (id, label) were found from."""
+    return labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -408,19 +413,20 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = PRODUCTION) -> DataF
     large = shared.where(F.col("size") > SMALL).select("token", "id", "size", "n")
     if not large.isEmpty():
         # plausible pairs across the clusters that a large group still holds; groups of the same members count once
-        own = large.join(components(near, "ngram-clusters"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        plausible = components(near, "ngram-clusters")
+        own = large.join(plausible, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(38,0)")).alias("y"))
         once = mixed.where("lo < hi").groupBy("x", "y").agg(F.min("token").alias("token"))
         across = _kernel(_block_pairs(own.join(once.select("token"), "token", "left_semi").join(reps.drop("n"), "id")), "more", "orders", rule)
         across = stored(across.distinct(), "ngram-across")
         free_shuffles(spark)
-        clusters = components(near.union(across), "ngram-clusters").withColumnRenamed("label", "token")
+        clusters = components(_stars(plausible).union(across), "ngram-clusters").withColumnRenamed("label", "token")
         # within a cluster, all members of large groups whose components still differ
         members = large.select("id", "n").distinct().join(clusters, "id").join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_ = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         members = stored(members.join(open_.select("token"), "token"), "ngram-members")
         found = _kernel(_block_pairs(members.join(sets_of(docs, members.select("id"), rule), "id")), "set", "sets", rule)
-        merged = components(links.union(found), "ngram-components")
+        merged = components(_stars(merged).union(found), "ngram-components")
         discard(across, members)
     discard(shared, near, links)
     free_shuffles(spark)

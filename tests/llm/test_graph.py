@@ -41,6 +41,16 @@ def test_components(spark, hot, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long"), "test").collect() == []
 
 
+def test_a_round_plans_each_step_once(spark):
+    """Each operator of a plan takes memory of the driver; with unions in both steps a round had six windows."""
+    edges = common.stored(spark.createDataFrame([(5, 3), (3, 1), (9, 5)], "a long, b long"), "test")
+    step = graph._star(graph._star(edges, True, False), False, False)
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Relation [") == 2
+    assert sorted(tuple(r) for r in step.collect()) == [(3, 1), (5, 1), (5, 3), (9, 3)]
+    common.discard(edges)
+
+
 def test_tree_sum(spark, monkeypatch):
     monkeypatch.setattr(common, "FAN_IN", 4)
     rows = [(k, t, np.full(3, t + k, np.int64).tobytes()) for k in range(2) for t in range(50)]
