@@ -168,3 +168,59 @@ def test_prefixes(spark):
     assert [r.path for r in diff.below(paths, mapping.select("prefix"), keep=False).collect()] == ["lib/z.py"]
     assert {r.tests for r in diff.test_roots(paths, mapping).collect()} == {None}
     assert sorted(r.tests for r in diff.test_roots(paths.where("path like 'src%'"), mapping).collect()) == [["t1"], ["t2"]]
+
+
+def _shuffled(spark, run):
+    """Rows that the stages of run() exchange."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    known = spark._jvm.java.util.ArrayList()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(known, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), known)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    found = run()
+    return found, total() - before
+
+
+def _near_copies():
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        base = [f"w{int(rng.paretovariate(0.5)) % 3000}" for _ in range(rng.choice([1, 3, 40, 150, 700]))]
+        texts += [[w if rng.random() > 0.15 else f"x{rng.randrange(500)}" for w in base] for _ in range(3)] + [base] * (25 if k == 7 else 2)
+    return texts + [[], ["a", None], ["a", None], ["a"]]
+
+
+def _brute(texts, t):
+    want = {}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            x, y = set(texts[j]), set(a)
+            both = len((x & y) - {None})
+            if x and y and both >= t * (len(x) + len(y) - both) - 1e-9:
+                want[j, i] = (both, len(x), len(y))
+    return want
+
+
+@pytest.mark.parametrize("t", [0.6, 0.9])
+def test_jaccard_pairs_in_many_parts(spark, monkeypatch, t):
+    """Long and short sets, classes of copies, nulls; slices, groups and pieces of clusters are small."""
+    for name, most in (("HELD", 40), ("VERIFIED", 30), ("AT_ONCE", 300)):
+        monkeypatch.setattr(similarity, name, most, raising=False)
+    texts = _near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, tokens array<string>")
+    assert {(r.i, r.j): (r.common, r.n_i, r.n_j) for r in similarity.jaccard_pairs(df, t).collect()} == _brute(texts, t)
+    asks = spark.range(0, len(texts), 7).withColumnRenamed("id", "i")
+    want = {(a, b) for i, j in _brute(texts, t) for a, b in ((i, j), (j, i)) if a % 7 == 0}
+    assert {(r.i, r.j) for r in similarity.jaccard_pairs(df, t, asks=asks).collect()} == want
+
+
+def test_jaccard_pairs_exchange_no_row_for_each_token(spark):
+    texts = _near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, tokens array<string>")
+    found, rows = _shuffled(spark, lambda: similarity.jaccard_pairs(df, 0.6).collect())
+    assert found and rows < sum(len(set(x)) for x in texts) / 2
