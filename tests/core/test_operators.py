@@ -170,8 +170,8 @@ def test_prefixes(spark):
     assert sorted(r.tests for r in diff.test_roots(paths.where("path like 'src%'"), mapping).collect()) == [["t1"], ["t2"]]
 
 
-def _shuffled(spark, run):
-    """Rows that the stages of run() exchange."""
+def _shuffled(spark, run, what="shuffleWriteRecords"):
+    """Rows, or bytes, that the stages of run() exchange."""
     store = spark.sparkContext._jsc.sc().statusStore()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     known = spark._jvm.java.util.ArrayList()
@@ -179,7 +179,7 @@ def _shuffled(spark, run):
     def total():
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         stages = store.stageList(known, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), known)
-        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+        return sum(getattr(stages.apply(k), what)() for k in range(stages.size()))
 
     before = total()
     found = run()
@@ -224,3 +224,22 @@ def test_jaccard_pairs_exchange_no_row_for_each_token(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, tokens array<string>")
     found, rows = _shuffled(spark, lambda: similarity.jaccard_pairs(df, 0.6).collect())
     assert found and rows < sum(len(set(x)) for x in texts) / 2
+
+
+def test_overlap_ratio_sends_a_text_once_to_its_cluster(spark, tmp_path):
+    """30 near copies make 435 pairs; their texts are not sent with each of them."""
+    from difflib import SequenceMatcher
+
+    import __spark_entry__ as driver
+
+    rng = random.Random(5)
+    base = [f"{rng.getrandbits(64):x}" for _ in range(600)]
+    texts = [" ".join(w for w in base if rng.random() > 0.02) for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    found, sent = _shuffled(spark, lambda: driver.queries()["overlap_ratio"](spark, str(tmp_path)).collect(), "shuffleWriteBytes")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    words = [t.split(" ") for t in texts]
+    want = {(i, j): SequenceMatcher(None, words[i], words[j], autojunk=False).ratio() for j in range(30) for i in range(j)}
+    assert {(r.i, r.j): r.ratio for r in found} == pytest.approx({k: round(v, 3) for k, v in want.items() if v >= 0.95}, abs=1e-3)
+    assert len(found) > 300 and sent < 8 * sum(map(len, texts))
