@@ -243,3 +243,17 @@ def test_overlap_ratio_sends_a_text_once_to_its_cluster(spark, tmp_path):
     want = {(i, j): SequenceMatcher(None, words[i], words[j], autojunk=False).ratio() for j in range(30) for i in range(j)}
     assert {(r.i, r.j): r.ratio for r in found} == pytest.approx({k: round(v, 3) for k, v in want.items() if v >= 0.95}, abs=1e-3)
     assert len(found) > 300 and sent < 8 * sum(map(len, texts))
+
+
+def test_resolved_repeats_are_not_exchanged(spark):
+    """20,000 references, 40 different ones of each kind: no join meets the repeats."""
+    n = spark.range(20_000).selectExpr("concat('m', id % 5) as dotted", "concat('s', id % 8) as name", "concat('m', id % 8) as module", "concat('a', id % 5) as alias", "id % 3 = 0 as is_package")
+    modules = {
+        "names": n.select("dotted", "name"), "attributes": n.selectExpr("dotted", "alias as base", "name as attr"), "from_imports": n.selectExpr("dotted", "is_package", "module", "name", "name as asname"),
+        "stars": n.select("dotted", "module"), "imports": n.selectExpr("dotted", "module", "alias as asname"),
+    }
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found, rows = _shuffled(spark, lambda: reach.resolved(modules, n.selectExpr("dotted", "name as symbol").union(spark.createDataFrame([("m9", "s99"), ("m6", "s2")], "dotted string, symbol string"))).collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(f"m{a}", f"s{b}") for a in range(5) for b in range(8)} | {("m6", "s2")}
+    assert {tuple(r) for r in found} == want and len(found) == len(want) and rows < 20_000
