@@ -257,3 +257,16 @@ def test_resolved_repeats_are_not_exchanged(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = {(f"m{a}", f"s{b}") for a in range(5) for b in range(8)} | {("m6", "s2")}
     assert {tuple(r) for r in found} == want and len(found) == len(want) and rows < 20_000
+
+
+def test_nearest_sends_a_vector_to_few_parts(spark):
+    """Copies and ties over many blocks: as by brute force, with at most SIDES copies of a vector on each side."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (600, 3)).astype(float)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "i long, vec array<double>")
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j), r + 1) for i in range(600) for r, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
+    found, rows = _shuffled(spark, lambda: similarity.nearest(df, 3, 7).collect())
+    assert {(r.i, r.j, r["rank"]) for r in found} == want
+    assert rows < 600 * (2 * 16 + 3 * 16) + 100
