@@ -60,3 +60,23 @@ def test_overlap_ratio_by_brute_force(spark, sf):
                     want[i, j] = round(ratio, 3)
     got = {(r.i, r.j): r.ratio for r in driver.queries()["overlap_ratio"](spark, sf).collect()}
     assert got == pytest.approx(want) and got
+
+
+def test_best_clone_match_exchanges_no_row_for_each_word(spark, tmp_path):
+    """Words of 40 documents and their near copies stay packed in every exchange."""
+    import random
+
+    from tests.core.test_operators import _shuffled
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = [f"v{rng.randrange(9000)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join(base[:-20]), " ".join(base[:-40])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, rows = _shuffled(spark, lambda: driver.queries()["best_clone_match"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(driver.oracle_sql()["best_clone_match"])
+    assert sorted((r.i, r.j) for r in found) == sorted(want.fetchall()) and len(found) == 80
+    assert rows < sum(len(set(t.split(" "))) for t in texts) / 2
