@@ -80,3 +80,22 @@ def test_best_clone_match_exchanges_no_row_for_each_word(spark, tmp_path):
     want = c.sql(driver.oracle_sql()["best_clone_match"])
     assert sorted((r.i, r.j) for r in found) == sorted(want.fetchall()) and len(found) == 80
     assert rows < sum(len(set(t.split(" "))) for t in texts) / 2
+
+
+def test_knn_new_only_sends_a_vector_to_few_parts(spark, tmp_path, monkeypatch):
+    """Vectors by fives in 120 blocks: what is exchanged does not grow with the number of blocks."""
+    import random
+
+    from sparkloupe.operators import similarity
+    from tests.core.test_operators import _shuffled
+
+    nearest = similarity.nearest
+    monkeypatch.setattr(similarity, "nearest", lambda vectors: nearest(vectors, 3, 5))
+    rng = random.Random(7)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(4)], f"label{k % 3}") for k in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found, sent = _shuffled(spark, lambda: driver.queries()["knn_new_only"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted((r.a, r.b) for r in found) == sorted(c.sql(driver.oracle_sql()["knn_new_only"]).fetchall())
+    assert sent < 2 * 600 * (5 * 16 + 20)
